@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from utterlake.session import materialize
 
@@ -55,7 +56,7 @@ def fold_text(text: str) -> str:
 _TABLE = {ord(a): (_TO[i] if i < len(_TO) else None) for i, a in reversed(list(enumerate(_FROM)))} | {0xFB00 + i: x for i, x in enumerate(LIGATURES)}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _composed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
