@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from utterlake.llm import turns, unify
+from utterlake.llm import langid, turns, unify
 from utterlake.session import table
 
 
@@ -18,6 +19,20 @@ def p1_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.speaker_turns(table(spark, sf_dir, "utterances"), table(spark, sf_dir, "speakers"), fill_forward=True, with_text=True)
 
 
+def _stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.fit_from_tables(table(spark, sf_dir, "lang_samples"), table(spark, sf_dir, "speakers"))
+    return langid.language_stretches(table(spark, sf_dir, "utterances"), model)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.mislabelled(_stretches(spark, sf_dir))
+
+
+def p2_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stretch of one language in every utterance, with its confidence."""
+    return _stretches(spark, sf_dir).select(F.col("id").alias("seq"), "declared", "lang", "stretch", "n_words", F.round("confidence", 6).alias("confidence"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unify.lookalike_pairs(table(spark, sf_dir, "utterances"))
 
@@ -27,5 +42,5 @@ def p6_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unify.with_canonical(table(spark, sf_dir, "utterances").select("seq", "text")).select("seq", "canonical")
 
 
-QUERIES = {"p1_found": p1_found, "p1_turns": p1_turns, "p6_found": p6_found, "p6_canonical": p6_canonical}
+QUERIES = {"p1_found": p1_found, "p1_turns": p1_turns, "p2_found": p2_found, "p2_stretches": p2_stretches, "p6_found": p6_found, "p6_canonical": p6_canonical}
 SQL: dict[str, str] = {}
