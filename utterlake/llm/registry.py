@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utterlake.llm import langid, turns, unify
-from utterlake.session import table
+from utterlake.llm import langid, pieces, splits, turns, unify
+from utterlake.session import materialize, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,38 @@ def p2_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stretches(spark, sf_dir).select(F.col("id").alias("seq"), "declared", "lang", "stretch", "n_words", F.round("confidence", 6).alias("confidence"))
 
 
+def _tied(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    utterances = table(spark, sf_dir, "utterances")
+    labels = utterances.select(F.col("speaker").alias("label")).where("label IS NOT NULL").distinct()
+    ties = materialize(splits.ties_of(utterances, turns.label_persons(labels, table(spark, sf_dir, "speakers"))), "tied")
+    return ties, splits.components(ties)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ties, groups = _tied(spark, sf_dir)
+    codes = ties.groupBy("node").agg(F.min("code").alias("code"))
+    held = materialize(groups.join(codes, "node"), "groups")
+    named = held.groupBy("component").agg(F.count("*").alias("n"), F.min("code").alias("group_code")).where("n > 1 AND group_code IS NOT NULL")
+    return held.join(named, "component").select(F.col("node").alias("org_media_path"), "group_code")
+
+
+def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every recording with its group and split."""
+    _, groups = _tied(spark, sf_dir)
+    sizes = table(spark, sf_dir, "utterances").where("org_media_path IS NOT NULL").groupBy(F.col("org_media_path").alias("node")).agg(F.count("*").alias("n"))
+    members = materialize(groups.join(sizes, "node"), "members")
+    return members.join(splits.assign_splits(members, table(spark, sf_dir, "split_targets")), "component").select(F.col("node").alias("org_media_path"), "component", "n", "split")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_cases(pieces.recording_pieces(table(spark, sf_dir, "utterances")))
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every recording."""
+    return pieces.recording_pieces(table(spark, sf_dir, "utterances"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unify.lookalike_pairs(table(spark, sf_dir, "utterances"))
 
@@ -42,5 +74,48 @@ def p6_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unify.with_canonical(table(spark, sf_dir, "utterances").select("seq", "text")).select("seq", "canonical")
 
 
-QUERIES = {"p1_found": p1_found, "p1_turns": p1_turns, "p2_found": p2_found, "p2_stretches": p2_stretches, "p6_found": p6_found, "p6_canonical": p6_canonical}
-SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_turns, p2_found, p2_stretches, p4_found, p4_splits, p5_found, p5_pieces, p6_found, p6_canonical)
+}
+
+_PERSONS = r"""
+  label_tokens AS (
+    SELECT label, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(label), '(\S)\s*[\[(].*$', '\1'), '^\s*spk\s*:', ''), '[^a-z0-9]+'), lambda t: t <> '') AS tokens
+    FROM (SELECT DISTINCT speaker AS label FROM utterances WHERE speaker IS NOT NULL)
+  ), label_keys AS (
+    SELECT label, tokens, unnest(tokens) AS key FROM label_tokens WHERE len(tokens) BETWEEN 1 AND 4
+  ), named AS (
+    SELECT k.label, min(s.speaker_code) AS code FROM label_keys k JOIN speakers s
+    ON k.key = lower(s.speaker_code) OR (k.key = lower(split_part(s.full_name, ' ', 2)) AND len(list_filter(k.tokens, lambda t: t <> k.key AND t <> lower(split_part(s.full_name, ' ', 1)) AND NOT (length(t) = 1 AND starts_with(lower(s.full_name), t)))) = 0)
+    GROUP BY 1 HAVING min(s.speaker_code) = max(s.speaker_code)
+  )"""
+
+SQL = {
+    "p4_found": rf"""
+WITH RECURSIVE {_PERSONS}, rows_ AS (
+  SELECT DISTINCT org_media_path AS node, speaker AS label, split_part(regexp_extract(prefix, '[^/]*$'), '.', 1) AS story FROM utterances WHERE org_media_path IS NOT NULL
+), ties AS (
+  SELECT DISTINCT node, 'p:' || code AS value, code FROM rows_ JOIN named USING (label)
+  UNION SELECT DISTINCT node, 's:' || story, NULL FROM rows_
+), hubs AS (SELECT value, min(node) AS hub FROM ties GROUP BY 1
+), links AS (
+  SELECT DISTINCT node AS a, hub AS b FROM ties JOIN hubs USING (value) UNION SELECT DISTINCT hub, node FROM ties JOIN hubs USING (value)
+), reach AS (
+  SELECT DISTINCT a AS node, a AS root FROM links UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node
+), comp AS (SELECT node, min(root) AS component FROM reach GROUP BY 1
+), codes AS (SELECT component, count(DISTINCT node) AS n, min(code) AS group_code FROM comp JOIN ties USING (node) GROUP BY 1)
+SELECT node AS org_media_path, group_code FROM comp JOIN codes USING (component) WHERE n > 1 AND group_code IS NOT NULL
+""",
+    "p5_found": """
+WITH r AS (
+  SELECT org_media_path, greatest(start_time, 0) AS s, end_time AS e FROM utterances WHERE org_media_path IS NOT NULL AND end_time > greatest(start_time, 0)
+), o AS (
+  SELECT *, max(e) OVER (PARTITION BY org_media_path ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r
+), i AS (
+  SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY org_media_path ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM o
+), p AS (SELECT org_media_path, island, min(s) AS s, max(e) AS e FROM i GROUP BY ALL)
+SELECT org_media_path, 'over' AS kind FROM p GROUP BY 1 HAVING max(e) > 300000
+UNION ALL SELECT DISTINCT org_media_path, 'forced' FROM p WHERE e - s > 300000
+""",
+}
