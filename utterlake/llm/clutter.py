@@ -14,7 +14,23 @@ SOUNDS = ["u+h+-?huh+", "m+-?h+m+", "u+h*m*", "h+u*m+", "m{2,}h*", "m+h+", "e+u+
 _WORD = r"\p{L}\p{M}\p{N}'’ʼ"
 HESITATION = rf"(?iu)(?<![{_WORD}])(?:{'|'.join(SOUNDS)})(?![{_WORD}])"
 #: A name or a code of a speaker in front of the speech: [S0000109], <Vala Lutopave>, S0000241>, >> R. Mudamuba:, Dimeseno, Neso -
-WRITTEN = r"^[\s>\-–—.…]*(?:[\[<(]\s*(S\d{7}|\p{L}[\p{L}., _]{2,48})\s*[\]>)]|(S\d{7}|\p{L}[\p{L}., _]{2,48}?)\s*(?::(?!\d)|>|\s-(?=\s|$)))"
+WRITTEN = r"^[\s>\-–—.…]*(?:[\[<(]\s*(?:S\d{7}|\p{L}[\p{L}., _]{2,48})\s*[\]>)]|(?:S\d{7}|\p{L}[\p{L}., _]{2,48}?)\s*(?::(?!\d)|>|\s-(?=\s|$)))"
+
+
+#: Letters that a hesitation sound may be made of; any other letter is speech.
+_SOUND_LETTERS = "uhmeraəUHMERAƏ嗯呃唔"
+#: What may close a written-in name.
+_CLOSES = r"[:>\])]| -"
+
+
+def says_speech(text: Column) -> Column:
+    """Whether a word beside hesitation sounds remains; most texts are settled by one scan for other letters."""
+    return F.when(text.rlike(rf"[\p{{L}}\p{{N}}&&[^{_SOUND_LETTERS}]]"), True).otherwise(says_something(without_hesitation(text)))
+
+
+def written_front(text: Column) -> Column:
+    """The part of ``text`` up to the end of a name or code written in front, empty if there is none."""
+    return F.when(text.rlike(_CLOSES), F.regexp_extract(text, WRITTEN, 0)).otherwise("")
 
 
 def without_times(text: Column) -> Column:

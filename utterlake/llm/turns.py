@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from utterlake.llm.clutter import WRITTEN, says_something, tidy, without_annotations, without_hesitation, without_times
+from utterlake.llm.clutter import says_speech, tidy, without_annotations, without_hesitation, without_times, written_front
 from utterlake.llm.unify import fold_lookalikes
 from utterlake.session import materialize
 
@@ -26,16 +26,15 @@ def speaker_index(speakers: DataFrame) -> DataFrame:
     return names.select(F.lower("code").alias("key"), "code", F.lit(None).cast("string").alias("first")).unionByName(surnames)
 
 
-def label_persons(labels: DataFrame, speakers: DataFrame, label: str = "label") -> DataFrame:
-    """``label``, ``code`` for each distinct label that names exactly one person of ``speakers``.
+def label_persons(labels: DataFrame, speakers: DataFrame) -> DataFrame:
+    """``label``, ``code`` for each distinct ``label`` that names exactly one person of ``speakers``.
 
     A label names a person by code or by surname, alone or with the first name or its initial, in any order, case or
     punctuation; what follows in brackets does not count. Nulls, roles and placeholders give no row.
     """
-    plain = F.regexp_replace(F.regexp_replace(F.lower(fold_lookalikes(F.col(label))), r"(?<=\S)\s*[\[(].*$", ""), r"^\s*(?:spk|speaker)\s*:", "")
+    plain = F.regexp_replace(F.regexp_replace(F.lower(fold_lookalikes(F.col("label"))), r"(?<=\S)\s*[\[(].*$", ""), r"^\s*(?:spk|speaker)\s*:", "")
     tokens = F.filter(F.split(plain, r"[^\p{L}\p{M}\p{N}']+"), lambda t: t != "")
-    asked = labels.where(F.col(label).isNotNull()).select(F.col(label).alias("label")).distinct()
-    asked = asked.select("label", tokens.alias("tokens")) if label == "label" else asked.withColumn("tokens", F.lit(None))
+    asked = labels.where("label IS NOT NULL").select("label").distinct().select("label", tokens.alias("tokens"))
     asked = asked.where(F.size("tokens").between(1, 4)).select("label", "tokens", F.explode("tokens").alias("key"))
     found = asked.join(speaker_index(speakers), "key")
     rest = F.array_remove("tokens", F.col("key"))
@@ -59,15 +58,13 @@ def spoken_rows(utterances: DataFrame, speakers: DataFrame, with_text: bool = Fa
         F.col("org_transcription_path").alias("path"), "seq", F.col("start_time").alias("start"), F.col("end_time").alias("end"),
         F.struct(F.xxhash64("text").alias("h"), F.length("text").alias("n")).alias("tid"), "speaker", text.alias("t"),
     )
-    cut = rows.where(says_something(F.col("t"))).withColumn("w1", F.regexp_extract("t", WRITTEN, 1)).withColumn("w2", F.regexp_extract("t", WRITTEN, 2))
-    cut = cut.withColumn("written", F.nullif(F.trim(F.concat("w1", "w2")), F.lit(""))).drop("w1", "w2")
-    speech = without_hesitation(without_annotations(F.col("t")))
-    after = without_hesitation(without_annotations(F.when(F.col("written").isNotNull(), F.regexp_replace("t", WRITTEN, " "))))
-    cut = cut.withColumn("says", says_something(speech)).withColumn("says_after", F.coalesce(says_something(after), F.col("says")))
-    cut = cut.where("says OR says_after")
+    cut = rows.withColumn("front", written_front(F.col("t"))).withColumn("rest", F.when(F.col("front") != "", F.expr("substring(t, length(front) + 1)")))
+    cut = cut.withColumn("whole", without_annotations(F.col("t"))).withColumn("rest", without_annotations(F.col("rest")))
+    cut = cut.withColumn("says", says_speech(F.col("whole"))).withColumn("says_after", F.when(F.col("rest").isNotNull(), says_speech(F.col("rest"))))
+    cut = cut.where("says OR says_after").withColumn("written", F.nullif(F.regexp_replace("front", r"^[^\p{L}]+|[^\p{L}\p{N}]+$", ""), F.lit("")))
     if with_text:
-        cut = cut.withColumn("clean", tidy(speech)).withColumn("clean_after", tidy(F.coalesce(after, speech)))
-    cut = cut.drop("t")
+        cut = cut.withColumn("clean", tidy(without_hesitation(F.col("whole")))).withColumn("clean_after", tidy(without_hesitation(F.coalesce("rest", "whole"))))
+    cut = materialize(cut.drop("t", "front", "rest", "whole"), "spoken")
     labels = cut.select(F.explode(F.array("speaker", "written")).alias("label"))
     persons = label_persons(labels.where("label IS NOT NULL").distinct(), speakers)
     persons = materialize(persons, "persons")
