@@ -61,14 +61,27 @@ def _composed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
-def visual_key(text: Column) -> Column:
-    """The mapped value of ``text``; those that are equal under UNICODE collation look the same.
+#: Marks that compose with Latin letters, letters they may compose with, and characters NFC replaces.
+_MARKS = "\\u0300-\\u0314\\u031b\\u0323-\\u0328\\u032d\\u032e\\u0330\\u0331\\u0338\\u0342\\u0345"
+_UNORDERED = (
+    f"[A-Za-z\\u00c0-\\u024f][{_MARKS}]|\\p{{M}}\\p{{M}}|[\\u1e00-\\u1eff][\\u0302\\u0304\\u0306\\u0307\\u031b]|[\\u0370-\\u1dff\\u1f00-\\uffff]\\p{{M}}"
+    "|[\\u0340\\u0341\\u0343\\u0344\\u0374\\u037e\\u0387\\u1100-\\u11ff\\u2126\\u212a\\u212b\\uf900-\\ufaff]"
+)
+
+
+def with_visual_key(df: DataFrame, text: str, out: str = "key") -> DataFrame:
+    """``df`` with the mapped value of ``text`` in ``out``; texts whose values are equal under UNICODE collation look the same.
 
-    Only texts with combining marks visit Python, for the canonical order of marks, which collation does not apply.
+    Only texts whose marks may not be in composed order visit Python for that: collation does not reorder marks.
     """
-    folded = fold_lookalikes(text)
-    marked = folded.rlike("\\p{M}|[\\u212a\\u212b\\u2126]")
-    return F.coalesce(_composed(F.when(marked, folded)), folded)
+    df = df.withColumn("__folded", fold_lookalikes(F.col(text)))
+    df = df.withColumn("__composed", _composed(F.when(F.col("__folded").rlike(_UNORDERED), F.col("__folded"))))
+    return df.withColumn(out, F.coalesce("__composed", "__folded")).drop("__folded", "__composed")
+
+
+def maybe_mapped(text: Column) -> Column:
+    """False only for texts that are their own mapped value."""
+    return text.rlike(_NEEDS) | text.rlike(_UNORDERED)
 
 
 def with_canonical(df: DataFrame, text: str = "text", out: str = "canonical") -> DataFrame:
@@ -80,7 +93,8 @@ def with_canonical(df: DataFrame, text: str = "text", out: str = "canonical") ->
     reduced to distinct ones before the grouping, so a text that makes up a third of all rows costs one row there.
     """
     held = df.drop(out)
-    texts = held.where(F.col(text).isNotNull()).select(F.col(text).alias("__text")).distinct().select("__text", visual_key(F.col("__text")).alias("__key"))
+    texts = held.where(F.col(text).isNotNull()).select(F.col(text).alias("__text")).distinct()
+    texts = with_visual_key(texts, "__text", "__key")
     texts = texts.select("__text", "__key", F.collate("__key", "UNICODE").alias("__class"))
     classes = texts.groupBy("__class").agg(F.min("__key").alias(out))
     members = texts.join(classes, "__class").select("__text", out)
@@ -96,21 +110,26 @@ def lookalike_pairs(df: DataFrame, key: str = "seq", text: str = "text") -> Data
     text makes up a third of all rows yields no candidates beyond its pairs and those among its rarer copies.
     A repeated key gives each pair once.
     """
-    rows = df.select(F.col(key).alias("seq"), F.col(text).alias("text")).where(F.col("seq").isNotNull() & F.col("text").isNotNull())
-    rows = rows.select("seq", F.xxhash64("text").alias("tid"), F.length("text").alias("len"), visual_key(F.col("text")).alias("key")).where(F.trim("key") != "")
-    # Texts first, so that the collation is applied once for each distinct text: its hash and length stand for it.
-    texts = rows.groupBy("key", "tid", "len").agg(F.count("*").alias("n"))
+    rows = df.select(F.col(key).alias("seq"), F.col(text).alias("text")).where("seq IS NOT NULL AND text IS NOT NULL")
+    # A class of two texts holds one that the mapping changes. Its letters and figures, which neither mapping by
+    # collation nor invisible characters touch, lead to all other texts of the class; no other text can be in one.
+    letters = F.xxhash64(F.regexp_replace("key", "[^\\p{L}\\p{N}]", ""))
+    suspects = with_visual_key(rows.where(maybe_mapped(F.col("text"))), "text").where("key != text").select(letters.alias("letters")).distinct()
+    held = with_visual_key(rows, "text").withColumn("letters", letters).join(suspects, "letters", "left_semi")
+    rows = materialize(held.select("seq", F.xxhash64("text").alias("tid"), F.hash("text").alias("tie"), "key").where(F.trim("key") != ""), "suspects")
+    # Texts first, so that the collation is applied once for each distinct text; two hashes stand for the text.
+    texts = rows.groupBy("key", "tid", "tie").agg(F.count("*").alias("n"))
     texts = texts.withColumn("class", F.collate("key", "UNICODE"))
-    hub = F.row_number().over(W.partitionBy("class").orderBy(F.desc("n"), "key", "tid", "len"))
+    hub = F.row_number().over(W.partitionBy("class").orderBy(F.desc("n"), "key", "tid", "tie"))
     texts = texts.withColumn("nth", hub).withColumn("of", F.count("*").over(W.partitionBy("class"))).withColumn("canonical", F.min("key").over(W.partitionBy("class")))
-    texts = texts.where("of > 1").select("tid", "len", F.col("key").alias("tkey"), F.xxhash64("canonical").alias("cid"), "canonical", (F.col("nth") == 1).alias("hub"))
+    texts = texts.where("of > 1").select("tid", "tie", F.col("key").alias("tkey"), F.xxhash64("canonical").alias("cid"), "canonical", (F.col("nth") == 1).alias("hub"))
     texts = materialize(texts, "lookalikes")
-    held = rows.join(texts, (rows["tid"] == texts["tid"]) & (rows["len"] == texts["len"]) & (rows["key"] == texts["tkey"])).select(
-        "seq", rows["tid"], rows["len"], rows["key"], "canonical", "hub"
+    held = rows.join(texts, (rows["tid"] == texts["tid"]) & (rows["tie"] == texts["tie"]) & (rows["key"] == texts["tkey"])).select(
+        "seq", rows["tid"], rows["tie"], rows["key"], "canonical", "hub"
     )
     held = materialize(held, "lookalike-rows")
-    a = held.where("NOT hub").select(F.col("seq").alias("a"), F.col("tid").alias("ta"), F.col("len").alias("la"), F.col("key").alias("ka"), "canonical")
-    b = held.select(F.col("seq").alias("b"), F.col("tid").alias("tb"), F.col("len").alias("lb"), F.col("key").alias("kb"), "canonical", "hub")
-    differ = (F.col("ta") != F.col("tb")) | (F.col("la") != F.col("lb")) | (F.col("ka") != F.col("kb"))
+    a = held.where("NOT hub").select(F.col("seq").alias("a"), F.col("tid").alias("ta"), F.col("tie").alias("ua"), F.col("key").alias("ka"), "canonical")
+    b = held.select(F.col("seq").alias("b"), F.col("tid").alias("tb"), F.col("tie").alias("ub"), F.col("key").alias("kb"), "canonical", "hub")
+    differ = (F.col("ta") != F.col("tb")) | (F.col("ua") != F.col("ub")) | (F.col("ka") != F.col("kb"))
     pairs = a.join(b, "canonical").where(differ & (F.col("hub") | (F.col("a") < F.col("b"))) & (F.col("a") != F.col("b")))
     return pairs.select(F.least("a", "b").alias("seq_a"), F.greatest("a", "b").alias("seq_b")).distinct()
