@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utterlake.llm import langid, pieces, splits, turns, unify
+from utterlake.llm import langid, leaks, pieces, splits, turns, unify
 from utterlake.session import materialize, table
 
 
@@ -74,9 +74,20 @@ def p6_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unify.with_canonical(table(spark, sf_dir, "utterances").select("seq", "text")).select("seq", "canonical")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate documents of each item: copies, and paraphrases that keep its rare words."""
+    found = leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    kind = F.when(F.col("held") >= F.col("item_words") * leaks.SHARE, "copy").when(F.col("held") > 0, "part").when(F.col("answers") >= 0.8, "paraphrase")
+    return found.withColumn("kind", kind).where("kind IS NOT NULL").select("doc_id", "item_id", "kind", "item_words", "held", F.round("answers", 6).alias("answers"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_turns, p2_found, p2_stretches, p4_found, p4_splits, p5_found, p5_pieces, p6_found, p6_canonical)
+    for f in (p1_found, p1_turns, p2_found, p2_stretches, p4_found, p4_splits, p5_found, p5_pieces, p6_found, p6_canonical, p7_found, p7_report)
 }
 
 _PERSONS = r"""
