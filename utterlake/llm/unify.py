@@ -79,11 +79,6 @@ def with_visual_key(df: DataFrame, text: str, out: str = "key") -> DataFrame:
     return df.withColumn(out, F.coalesce("__composed", "__folded")).drop("__folded", "__composed")
 
 
-def maybe_mapped(text: Column) -> Column:
-    """False only for texts that are their own mapped value."""
-    return text.rlike(_NEEDS) | text.rlike(_UNORDERED)
-
-
 def with_canonical(df: DataFrame, text: str = "text", out: str = "canonical") -> DataFrame:
     """``df`` with the canonical member of each text's class in ``out``.
 
@@ -111,13 +106,14 @@ def lookalike_pairs(df: DataFrame, key: str = "seq", text: str = "text") -> Data
     A repeated key gives each pair once.
     """
     rows = df.select(F.col(key).alias("seq"), F.col(text).alias("text")).where("seq IS NOT NULL AND text IS NOT NULL")
-    # A class of two texts holds one that the mapping changes. Its letters and figures, which neither mapping by
-    # collation nor invisible characters touch, lead to all other texts of the class; no other text can be in one.
-    letters = F.xxhash64(F.regexp_replace("key", "[^\\p{L}\\p{N}]", ""))
-    suspects = with_visual_key(rows.where(maybe_mapped(F.col("text"))), "text").where("key != text").select(letters.alias("letters")).distinct()
-    held = with_visual_key(rows, "text").withColumn("letters", letters).join(suspects, "letters", "left_semi")
-    rows = materialize(held.select("seq", F.xxhash64("text").alias("tid"), F.hash("text").alias("tie"), "key").where(F.trim("key") != ""), "suspects")
-    # Texts first, so that the collation is applied once for each distinct text; two hashes stand for the text.
+    # Texts of one class have the same letters and figures, which neither the collation nor invisible characters touch:
+    # only rows whose letters stand in two different texts go on. Two hashes stand for a text.
+    keyed = with_visual_key(rows, "text").withColumn("letters", F.xxhash64(F.regexp_replace("key", "[^\\p{L}\\p{N}]+", "")))
+    keyed = materialize(keyed.select("seq", "key", "letters", F.xxhash64("text").alias("tid"), F.hash("text").alias("tie")).where(F.trim("key") != ""), "keyed")
+    sides = [f(c).alias(f"{n}_{c}") for c in ("tid", "tie") for n, f in (("least", F.min), ("most", F.max))]
+    shared = keyed.groupBy("letters").agg(*sides).where("least_tid < most_tid OR least_tie < most_tie").select("letters")
+    rows = materialize(keyed.join(shared, "letters", "left_semi").select("seq", "tid", "tie", "key"), "suspects")
+    # Texts first, so that the collation is applied once for each distinct text.
     texts = rows.groupBy("key", "tid", "tie").agg(F.count("*").alias("n"))
     texts = texts.withColumn("class", F.collate("key", "UNICODE"))
     hub = F.row_number().over(W.partitionBy("class").orderBy(F.desc("n"), "key", "tid", "tie"))
