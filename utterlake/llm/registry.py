@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utterlake.llm import langid, leaks, pieces, splits, turns, unify
+from utterlake.llm import langid, leaks, mixing, pieces, splits, turns, unify
 from utterlake.session import materialize, table
 
 
@@ -85,9 +85,27 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kind", kind).where("kind IS NOT NULL").select("doc_id", "item_id", "kind", "item_words", "held", F.round("answers", 6).alias("answers"))
 
 
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.short_sources(_mix(spark, sf_dir)[1])
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its rate and repeats in the mix."""
+    return _mix(spark, sf_dir)[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets, capacities and the shares actually reached."""
+    return _mix(spark, sf_dir)[1]
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_turns, p2_found, p2_stretches, p4_found, p4_splits, p5_found, p5_pieces, p6_found, p6_canonical, p7_found, p7_report)
+    for f in (p1_found, p1_turns, p2_found, p2_stretches, p4_found, p4_splits, p5_found, p5_pieces, p6_found, p6_canonical, p7_found, p7_report, p8_found, p8_mix, p8_shares)
 }
 
 _PERSONS = r"""
