@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utterlake.llm import langid, leaks, mixing, pieces, splits, turns, unify
+from utterlake.llm import langid, leaks, mixing, pieces, splits, subjects, turns, unify
 from utterlake.session import materialize, table
 
 
@@ -80,7 +80,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate documents of each item: copies, and paraphrases that keep its rare words."""
-    found = leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    found = leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), whole=True)
     kind = F.when(F.col("held") >= F.col("item_words") * leaks.SHARE, "copy").when(F.col("held") > 0, "part").when(F.col("answers") >= 0.8, "paraphrase")
     return found.withColumn("kind", kind).where("kind IS NOT NULL").select("doc_id", "item_id", "kind", "item_words", "held", F.round("answers", 6).alias("answers"))
 
@@ -103,9 +103,23 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = (table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subject_areas", "lang_samples"))
+    return subjects.document_subjects(*tables)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _subjects(spark, sf_dir).select("doc_id", "subject").distinct()
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and mean share of sentences of each subject."""
+    return _subjects(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.avg("share"), 6).alias("mean_share"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_turns, p2_found, p2_stretches, p4_found, p4_splits, p5_found, p5_pieces, p6_found, p6_canonical, p7_found, p7_report, p8_found, p8_mix, p8_shares)
+    for f in (p1_found, p1_turns, p2_found, p2_stretches, p4_found, p4_splits, p5_found, p5_pieces, p6_found, p6_canonical, p7_found, p7_report, p8_found, p8_mix, p8_shares, p9_found, p9_composition)
 }
 
 _PERSONS = r"""
