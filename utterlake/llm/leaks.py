@@ -10,7 +10,6 @@ alignment of words (longest common subsequence with priced errors) and by the it
 from __future__ import annotations
 
 import math
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from utterlake.llm.langid import _HAN, _HAS_HAN, _core
-from utterlake.llm.unify import fold_lookalikes
+from utterlake.llm.unify import fold_text
 
 #: Hash space of terms; size and stride of a document's windows in words; least cosine of a candidate; greatest rank.
 TERMS, WINDOW, STRIDE, COSINE, RANK = 1 << 19, 24, 8, 0.2, 512
@@ -30,37 +29,44 @@ _WORD_CACHE = 400_000
 
 
 class Tokens:
-    """Words of folded, lower-case texts as hashed terms; white-space tokens keep their terms."""
+    """Words of texts as 32-bit terms; folding, case and composition are settled once for each white-space token."""
 
     def __init__(self) -> None:
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.one: dict[str, int] = {}
+        self.more: dict[str, tuple[int, ...]] = {}
 
-    def _new(self, token: str) -> tuple[int, ...]:
+    def _new(self, token: str) -> None:
+        folded = fold_text(token).lower()
         found = []
-        for part in _HAN.findall(token) if _HAS_HAN.search(token) else token.replace("-", " ").replace("—", " ").replace("/", " ").split():
-            word = _core(unicodedata.normalize("NFC", part)).strip("'")
+        for part in _HAN.findall(folded) if _HAS_HAN.search(folded) else folded.replace("-", " ").replace("—", " ").replace("/", " ").split():
+            word = _core(part).strip("'")
             if word:
                 found.append(zlib.crc32(word.encode()))
-        if len(token) < 40 and not _HAS_HAN.search(token):
-            if len(self.known) > _WORD_CACHE:
-                self.known.clear()
-            self.known[token] = tuple(found)
-        return tuple(found)
+        self.one[token] = found[0] if len(found) == 1 else -1
+        if len(found) != 1:
+            self.more[token] = tuple(found)
 
     def __call__(self, text: str) -> np.ndarray:
-        """32-bit terms of the text's words in order."""
-        known, out = self.known, []
-        for token in text.split():
-            terms = known.get(token)
-            out += self._new(token) if terms is None else terms
-        return np.array(out, dtype=np.int64)
+        """Terms of the text's words in order."""
+        if len(self.one) > _WORD_CACHE:
+            self.one.clear(), self.more.clear()
+        tokens = text.split()
+        terms = list(map(self.one.get, tokens))
+        if None in terms:
+            for token, term in zip(tokens, terms):
+                if term is None:
+                    self._new(token)
+            terms = list(map(self.one.get, tokens))
+        if -1 in terms:
+            terms = [x for token, term in zip(tokens, terms) for x in ((term,) if term >= 0 else self.more[token])]
+        return np.array(terms, dtype=np.int64)
 
 
 _TOKENS = Tokens()
 
 
 def _plain(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.lower(fold_lookalikes(F.col(text))).alias("text"))
+    return df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -161,11 +167,38 @@ def fit_latent(items: DataFrame, weights: np.ndarray, rank: int = RANK, seed: in
     return Latent(np.array(ids, dtype=np.int64), terms, rows, words)
 
 
-def held_words(item: np.ndarray, doc: np.ndarray, passage: int = PASSAGE, per_error: int = PER_ERROR) -> int:
+def may_hold(item: np.ndarray, doc: np.ndarray, share: float = SHARE, passage: int = PASSAGE, per_error: int = PER_ERROR, gram: int = 4) -> tuple[bool, int]:
+    """Whether ``doc`` can hold ``share`` of ``item``, and the longest run of words that it holds unchanged.
+
+    An error breaks at most ``gram`` of a passage's word grams, so a lower bound of unbroken ones follows; a document
+    with fewer cannot hold enough.
+    """
+    n = len(item)
+    if n < gram or len(doc) < gram:
+        return False, 0
+    code = lambda w: sum(w[k : len(w) - gram + 1 + k] * m for k, m in enumerate((1, 1_000_003, 998_244_353, 1_000_000_007)))
+    a, b = code(item), code(doc)
+    near = np.isin(a, b)
+    least = share * n
+    if near.sum() < least * (1 - gram / per_error) - (gram - 1) * least / passage:
+        return False, 0
+    order = np.argsort(b, kind="stable")
+    lo, hi = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
+    i = np.repeat(np.arange(len(a)), hi - lo)
+    j = order[np.concatenate([np.arange(x, y) for x, y in zip(lo, hi)])] if len(i) else i
+    sort = np.lexsort((i, j - i))
+    i, d = i[sort], (j - i)[sort]
+    breaks = np.flatnonzero((np.diff(i) != 1) | (np.diff(d) != 0))
+    runs = np.diff(np.concatenate([[-1], breaks, [len(i) - 1]]))
+    return True, int(runs.max()) + gram - 1
+
+
+def held_words(item: np.ndarray, doc: np.ndarray, passage: int = PASSAGE, per_error: int = PER_ERROR, enough: float = np.inf) -> int:
     """Words of ``item`` that ``doc`` holds in passages of at least ``passage`` words with at most one error in ``per_error``.
 
     Passages come from local alignment, one after the other, each over words of the item not held yet. An error is a
-    changed, added or dropped word. Within the alignment the longest stretch that keeps the allowance is taken.
+    changed, added or dropped word. Within the alignment the longest stretch that keeps the allowance is taken. The count
+    ends once it reaches ``enough``.
     """
     n, m, price = len(item), len(doc), 4.0
     if n < passage or m < passage:
@@ -213,14 +246,16 @@ def held_words(item: np.ndarray, doc: np.ndarray, passage: int = PASSAGE, per_er
             used = [x for x, _, _ in steps[best[1] : best[2]] if x >= 0]
             if len(used) >= passage:
                 total += len(used)
-        if not used:
+        if not used or total >= enough:
             return total
         same[used] = False
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", cosine: float = COSINE) -> DataFrame:
+def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", cosine: float = COSINE, whole: bool = False) -> DataFrame:
     """Candidates with their checks: ``doc_id, item_id, cosine, item_words, held, answers``.
 
+    Without ``whole`` the count of held words ends once the share is reached, and is 0 where it cannot be.
+
     ``held`` counts the item's words held in passages, ``answers`` the share of the item's rarest words (its names and
     answers) that stand anywhere in the document, which marks paraphrases. Every document and every item is compared.
     Null keys or texts give no row; texts without words hold nothing; repeated rows come out repeated; texts of any
@@ -263,8 +298,16 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", ite
                     np.maximum(best, (a[s:e][inside] @ across[p[inside]]) / math.sqrt(sq[e] - sq[s]), out=best)
                 for k in np.flatnonzero(best >= cosine):
                     item = latent.words[k]
-                    answers = float(np.isin(rare[k], words).mean()) if len(rare[k]) else 0.0
-                    out.append((d, int(latent.ids[k]), float(best[k]), len(item), held_words(item, words), answers))
+                    answers = float(np.isin(rare[k], words).mean()) if whole and len(rare[k]) else 0.0
+                    least = SHARE * len(item)
+                    may, run = may_hold(item, words)
+                    if whole:
+                        count = held_words(item, words)
+                    elif may:
+                        count = run if run >= max(least, PASSAGE) else held_words(item, words, enough=least)
+                    else:
+                        count = 0
+                    out.append((d, int(latent.ids[k]), float(best[k]), len(item), count, answers))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "cosine", "item_words", "held", "answers"])
 
     return docs.mapInPandas(search, "doc_id bigint, item_id bigint, cosine double, item_words bigint, held bigint, answers double")
