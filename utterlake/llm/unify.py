@@ -22,7 +22,7 @@ CYRILLIC, CYRILLIC_AS = "АВЕЅІЈКМНОРСТУХаеѕіјорсухәһ
 GREEK, GREEK_AS = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEZHIKMNOPTYXo"
 LATIN, LATIN_AS = "ɡǝǀ", "gə|"
 # Marks drawn alike (apostrophes, hyphens that do not break, one-dot leader, ratio sign).
-MARKS, MARKS_AS = "’ʼ‘ʻ`´‐‑․∶", "''''''--.:"
+MARKS, MARKS_AS = "\u2019\u02bc\u2010\u2011\u2024\u2236", "''--.:"
 #: Blanks of one character.
 BLANKS = "\t\n\u000b\f\r\u0085  " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
 #: Characters without any visible form: controls, soft hyphen, zero-width and directional marks, variation selectors.
@@ -32,7 +32,7 @@ INVISIBLE = (
     + "".join(map(chr, [*range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10)]))
 )
 _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
-_WIDE_AS = "".join(map(chr, range(0x21, 0x7F))).replace("`", "'")
+_WIDE_AS = "".join(map(chr, range(0x21, 0x7F)))
 LIGATURES = ["ff", "fi", "fl", "ffi", "ffl"]  # from U+FB00 on
 _FROM = CYRILLIC + GREEK + LATIN + MARKS + _WIDE + BLANKS + INVISIBLE
 _TO = CYRILLIC_AS + GREEK_AS + LATIN_AS + MARKS_AS + _WIDE_AS + " " * len(BLANKS)
