@@ -12,7 +12,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,7 +22,7 @@ from utterlake.session import materialize
 #: A public tokenizer's ranks and its pattern; see the README of that folder.
 RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-ROUNDS, TOLERANCE, ALPHA = 40, 1e-6, 0.5
+ROUNDS, TOLERANCE, ALPHA = 40, 1e-4, 0.5
 FIELDS = ("collection", "kind", "lang")
 _ENCODERS: dict = {}
 
@@ -42,12 +42,14 @@ def with_tokens(docs: DataFrame, columns: list[str], text: str = "text", ranks:
     rows = docs.select(*columns, F.col(text).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema) + ", tokens bigint"
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(ranks).encode_ordinary
         for batch in batches:
-            yield batch.drop(columns="__text").assign(tokens=[len(encode(t)) if t else 0 for t in batch["__text"]])
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            tokens = pa.array([len(encode(t)) if t else 0 for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], tokens], [*batch.schema.names[:-1], "tokens"])
 
-    return rows.mapInPandas(count, schema)
+    return rows.mapInArrow(count, schema)
 
 
 def source_posteriors(docs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
@@ -100,17 +102,18 @@ def mix_sources(docs: DataFrame, targets: DataFrame, ranks: str = RANKS, rounds:
     groups = materialize(held.groupBy("p").agg(F.sum("tokens").alias("tokens")), "rates")
     total = groups.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     limit = F.aggregate(F.zip_with(F.col("p"), F.array(*[F.lit(float(g[2])) for g in goals]), lambda p, x: p * x), F.lit(0.0), lambda a, b: a + b) if names else F.lit(0.0)
-    sums = lambda weight: [F.coalesce(F.sum(F.col("p")[i] * F.col("tokens") * weight), F.lit(0.0)) for i in range(len(names))]
-    mass = list(groups.agg(*sums(F.lit(1.0))).first()) if names else []
+    sums = [F.coalesce(F.sum(F.col("p")[i] * F.col("tokens") * F.col("rate")), F.lit(0.0)) for i in range(len(names))]
+    mass = list(groups.withColumn("rate", F.lit(1.0)).agg(*sums).first()) if names else []
     aims = [g[1] * total for g in goals]
     steps: list[list[float]] = [[-a / m if m > 0 else 0.0 for a, m in zip(aims, mass)]]
+    before: list[float] | None = None
     for _ in range(rounds if names else 0):
-        reached = list(groups.agg(*sums(_rate(F.col("p"), steps, limit))).first())
-        step = [(x - a) / m if m > 0 else 0.0 for x, a, m in zip(reached, aims, mass)]
-        # A source at its capacity keeps its error; it is done when the others are.
-        if sum(abs(s) * m for s, m, x, g in zip(step, mass, reached, goals) if x < g[2] * m * (1 - 1e-9) or s > 0) <= TOLERANCE * max(total, 1):
+        reached = list(groups.withColumn("rate", _rate(F.col("p"), steps, limit)).agg(*sums).first())
+        # Sources at their capacity keep an error that no step lowers, so the fit ends when the totals stand still.
+        if before is not None and sum(abs(x - y) for x, y in zip(reached, before)) <= TOLERANCE * max(total, 1):
             break
-        steps.append(step)
+        before = reached
+        steps.append([(x - a) / m if m > 0 else 0.0 for x, a, m in zip(reached, aims, mass)])
     rate = _rate(F.col("p"), steps, limit) if names else F.lit(0.0)
     pick = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
     mix = held.withColumn("rate", rate).select("doc_id", "source", "tokens", "rate", (F.floor("rate") + F.when(pick < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int").alias("repeats"), "p")
