@@ -167,6 +167,12 @@ def fit_latent(items: DataFrame, weights: np.ndarray, rank: int = RANK, seed: in
     return Latent(np.array(ids, dtype=np.int64), terms, rows, words)
 
 
+def _grams(words: np.ndarray, gram: int) -> np.ndarray:
+    """Hashes of the word grams, in order; 64-bit products wrap."""
+    n = len(words) - gram + 1
+    return sum(words[k : n + k] * np.int64(m) for k, m in zip(range(gram), (1, 6364136223846793005, 1442695040888963407, 3935559000370003845)))
+
+
 def may_hold(item: np.ndarray, doc: np.ndarray, share: float = SHARE, passage: int = PASSAGE, per_error: int = PER_ERROR, gram: int = 4) -> tuple[bool, int]:
     """Whether ``doc`` can hold ``share`` of ``item``, and the longest run of words that it holds unchanged.
 
@@ -176,8 +182,7 @@ def may_hold(item: np.ndarray, doc: np.ndarray, share: float = SHARE, passage: i
     n = len(item)
     if n < gram or len(doc) < gram:
         return False, 0
-    code = lambda w: sum(w[k : len(w) - gram + 1 + k] * m for k, m in enumerate((1, 1_000_003, 998_244_353, 1_000_000_007)))
-    a, b = code(item), code(doc)
+    a, b = _grams(item, gram), _grams(doc, gram)
     near = np.isin(a, b)
     least = share * n
     if near.sum() < least * (1 - gram / per_error) - (gram - 1) * least / passage:
@@ -193,20 +198,46 @@ def may_hold(item: np.ndarray, doc: np.ndarray, share: float = SHARE, passage: i
     return True, int(runs.max()) + gram - 1
 
 
+def _regions(item: np.ndarray, doc: np.ndarray, gram: int = 4, most: int = 8192) -> list[tuple[int, int]]:
+    """Stretches of ``doc`` that can hold a passage: around word grams of ``item``, cut with overlap where they are long."""
+    if len(item) < gram or len(doc) < gram:
+        return []
+    reach = len(item) + len(item) // 4 + gram
+    met = np.flatnonzero(np.isin(_grams(doc, gram), _grams(item, gram)))
+    if not len(met):
+        return []
+    cuts = np.flatnonzero(np.diff(met) > 2 * reach)
+    out = []
+    for a, b in zip(met[np.concatenate([[0], cuts + 1])], met[np.concatenate([cuts, [len(met) - 1]])]):
+        lo, hi = max(0, int(a) - reach), min(len(doc), int(b) + reach)
+        step = max(most, 4 * reach)
+        out += [(x, min(x + step, hi)) for x in range(lo, max(lo + 1, hi - 2 * reach), step - 2 * reach)]
+    return out
+
+
 def held_words(item: np.ndarray, doc: np.ndarray, passage: int = PASSAGE, per_error: int = PER_ERROR, enough: float = np.inf) -> int:
     """Words of ``item`` that ``doc`` holds in passages of at least ``passage`` words with at most one error in ``per_error``.
 
-    Passages come from local alignment, one after the other, each over words of the item not held yet. An error is a
-    changed, added or dropped word. Within the alignment the longest stretch that keeps the allowance is taken. The count
-    ends once it reaches ``enough``.
+    An error is a changed, added or dropped word. Passages are looked for around unbroken word grams, so that a document
+    of any length takes bounded memory; words of the item count once. The count ends once it reaches ``enough``.
+    """
+    free = np.ones(len(item), dtype=bool)
+    for lo, hi in _regions(item, doc):
+        _take_passages(item, doc[lo:hi], free, passage, per_error, enough)
+        if (~free).sum() >= enough:
+            break
+    return int((~free).sum())
+
+
+def _take_passages(item: np.ndarray, doc: np.ndarray, free: np.ndarray, passage: int, per_error: int, enough: float) -> None:
+    """Mark in ``free`` the words of ``item`` in passages of ``doc``, found by local alignment, one after the other.
+
+    Within an alignment the longest stretch that keeps the allowance of errors is taken.
     """
     n, m, price = len(item), len(doc), 4.0
-    if n < passage or m < passage:
-        return 0
-    same = item[:, None] == doc[None, :]
-    total = 0
+    same = (item[:, None] == doc[None, :]) & free[:, None]
     offsets = np.arange(m + 1) * price
-    while True:
+    while (~free).sum() < enough:
         h = np.zeros((n + 1, m + 1))
         for i in range(1, n + 1):
             row = np.zeros(m + 1)
@@ -216,39 +247,31 @@ def held_words(item: np.ndarray, doc: np.ndarray, passage: int = PASSAGE, per_er
             h[i] = np.maximum(row, 0)
         i, j = np.unravel_index(int(h.argmax()), h.shape)
         if h[i, j] < passage - 1 - price * (passage // per_error):
-            return total
-        steps: list[tuple[int, int, bool]] = []  # item word, document word, whether it is an error
+            return
+        steps: list[tuple[int, bool]] = []  # word of the item, whether it is an error
         while h[i, j] > 1e-9:
             if i and j and abs(h[i, j] - h[i - 1, j - 1] - (1.0 if same[i - 1, j - 1] else -price)) < 1e-6:
-                steps.append((i - 1, j - 1, not same[i - 1, j - 1]))
+                steps.append((i - 1, not same[i - 1, j - 1]))
                 i, j = i - 1, j - 1
             elif i and abs(h[i, j] - h[i - 1, j] + price) < 1e-6:
-                steps.append((i - 1, -1, True))
+                steps.append((i - 1, True))
                 i -= 1
             else:
-                steps.append((-1, j - 1, True))
+                steps.append((-1, True))
                 j -= 1
         steps.reverse()
-        errors = np.cumsum([0] + [e for _, _, e in steps])
-        best = (0, 0, 0)
+        errors = np.cumsum([0] + [e for _, e in steps])
+        length, first = 0, 0
         for a in range(len(steps)):
-            if steps[a][2]:
-                continue
-            for b in range(len(steps), a + passage - 1, -1):
-                if b - a <= best[0]:
-                    break
-                if not steps[b - 1][2] and (errors[b] - errors[a]) * per_error <= b - a:
-                    best = (b - a, a, b)
+            for b in range(len(steps), a + max(length, passage - 1), -1):
+                if not steps[a][1] and not steps[b - 1][1] and (errors[b] - errors[a]) * per_error <= b - a:
+                    length, first = b - a, a
                     break
-        if not best[0]:
-            used = [x for x, _, _ in steps if x >= 0]
-        else:
-            used = [x for x, _, _ in steps[best[1] : best[2]] if x >= 0]
-            if len(used) >= passage:
-                total += len(used)
-        if not used or total >= enough:
-            return total
-        same[used] = False
+        taken = [x for x, _ in steps[first : first + length] if x >= 0]
+        if len(taken) >= passage:
+            free[taken] = False
+        tried = [x for x, _ in steps if x >= 0]
+        same[taken if len(taken) >= passage else tried] = False
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", cosine: float = COSINE, whole: bool = False) -> DataFrame:
