@@ -88,7 +88,7 @@ def recording_pieces(utterances: DataFrame, media: str = "org_media_path", limit
     if not 0 <= overlap_ms < limit_ms or block_ms < 2 * limit_ms:
         raise ValueError("the overlap must be less than the limit, and a block at least two limits")
     span = limit_ms - overlap_ms
-    rows = utterances.where(F.col(media).isNotNull() & (F.col("end_time") > F.greatest(F.col("start_time"), F.lit(0))))
+    rows = utterances.where(F.col(media).isNotNull() & F.col("start_time").isNotNull() & (F.col("end_time") > F.greatest(F.col("start_time"), F.lit(0))))
     rows = rows.select(F.col(media).alias("media"), F.greatest("start_time", F.lit(0)).alias("start_time"), "end_time")
     periods = materialize(merge_periods(rows, ["media"]).select("media", "from_ms", "to_ms"), "coverage")
     sizes = periods.groupBy("media").agg(F.max("to_ms").alias("size"))

@@ -152,7 +152,7 @@ SELECT node AS org_media_path, group_code FROM comp JOIN codes USING (component)
 """,
     "p5_found": """
 WITH r AS (
-  SELECT org_media_path, greatest(start_time, 0) AS s, end_time AS e FROM utterances WHERE org_media_path IS NOT NULL AND end_time > greatest(start_time, 0)
+  SELECT org_media_path, greatest(start_time, 0) AS s, end_time AS e FROM utterances WHERE org_media_path IS NOT NULL AND end_time > start_time AND end_time > 0
 ), o AS (
   SELECT *, max(e) OVER (PARTITION BY org_media_path ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r
 ), i AS (

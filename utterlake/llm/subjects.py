@@ -272,7 +272,8 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED)
     found = labels.where("doc_id IS NOT NULL AND subject IS NOT NULL").groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
     found = found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # At most ``most`` ids and label lists: a proven bound, so the documents are not shuffled.
-    return docs.where("text IS NOT NULL").join(F.broadcast(found), "doc_id").select("doc_id", fold_lookalikes(F.col("text")).alias("text"), "source", "kind", "subjects").orderBy("doc_id").drop("doc_id")
+    rows = docs.where("text IS NOT NULL").select("doc_id", fold_lookalikes(F.col("text")).alias("text"), "source", "kind")
+    return rows.join(F.broadcast(found), "doc_id").orderBy("doc_id").drop("doc_id")
 
 
 def document_subjects(docs: DataFrame, labels: DataFrame, areas: DataFrame, samples: DataFrame) -> DataFrame:
