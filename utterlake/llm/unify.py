@@ -63,9 +63,10 @@ def _composed(text: pd.Series) -> pd.Series:
 
 #: Marks that compose with Latin letters, letters they may compose with, and characters NFC replaces.
 _MARKS = "\\u0300-\\u0314\\u031b\\u0323-\\u0328\\u032d\\u032e\\u0330\\u0331\\u0338\\u0342\\u0345"
+_BELOW = "\\u0302\\u0304\\u0306\\u0307\\u031b\\u0323-\\u0328\\u032d\\u032e\\u0330\\u0331"
 _UNORDERED = (
-    f"[A-Za-z\\u00c0-\\u024f][{_MARKS}]|\\p{{M}}\\p{{M}}|[\\u1e00-\\u1eff][\\u0302\\u0304\\u0306\\u0307\\u031b]|[\\u0370-\\u1dff\\u1f00-\\uffff]\\p{{M}}"
-    "|[\\u0340\\u0341\\u0343\\u0344\\u0374\\u037e\\u0387\\u1100-\\u11ff\\u2126\\u212a\\u212b\\uf900-\\ufaff]"
+    f"[A-Za-z\\u00a8\\u00c0-\\u024f\\u0292][{_MARKS}]|\\p{{M}}\\p{{M}}|[\\u1e00-\\u1eff][{_BELOW}]|[<=>]\\u0338|[\\u0370-\\u1dff\\u1f00-\\uffff]\\p{{M}}"
+    "|[\\u0340\\u0341\\u0343\\u0344\\u0374\\u037e\\u0387\\u0958-\\u095f\\u09dc-\\u09df\\u0a33-\\u0a5e\\u0b5c\\u0b5d\\u0f43-\\u0fb9\\u1100-\\u11ff\\u1f71-\\u1ffd\\u2000\\u2001\\u2126\\u212a\\u212b\\u2329\\u232a\\u2adc\\uf900-\\ufaff]"
 )
 
 
