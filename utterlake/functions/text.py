@@ -24,12 +24,26 @@ def _quoted(token: str) -> str:
     return re.sub(r"([\\^$.|?*+()\[\]{}\-/])", r"\\\1", token)
 
 
+def in_order(tokens: Iterable[str]) -> str:
+    """Pattern that takes the first of ``tokens`` that matches.
+
+    Tokens are grouped by their first code point, in order inside each group; tokens of other first code points cannot
+    match at the same place, so the groups' order is free, and a matcher tries few alternatives at each character.
+    """
+    groups: dict[str, list[str]] = {}
+    for t in tokens:
+        groups.setdefault(t[0], []).append(t[1:])
+    alone = [c for c, rests in groups.items() if set(rests) == {""}]
+    parts = [f"{_quoted(c)}(?:{'|'.join(map(_quoted, dict.fromkeys(rests)))})" for c, rests in groups.items() if c not in alone]
+    return "|".join(parts + ([f"[{''.join(map(_quoted, alone))}]"] if alone else []))
+
+
 def alternation(tokens: Iterable[str]) -> str:
-    """Pattern that takes the longest of ``tokens`` first (equal lengths in code point order)."""
+    """Pattern that takes the longest of ``tokens`` first."""
     ordered = sorted(set(tokens), key=lambda t: (-len(t), t))
     if not ordered or "" in ordered:
         raise ValueError("an inventory needs tokens, none of them empty")
-    return "|".join(map(_quoted, ordered))
+    return in_order(ordered)
 
 
 def is_blank(text: Column) -> Column:
@@ -57,17 +71,16 @@ def segment_orthographic(text: Column, inventory: Sequence[str] = tuple(inv.ORTH
     return segment_tokens(F.lower(text), inventory)
 
 
-def _tonal_parts(label_type: str) -> list[str]:
-    """Alternatives of the tonal pattern in the order in which they are tried."""
+def _tonal_pattern(label_type: str) -> str:
+    """Whatever a tonal text may hold, in the order in which it is tried."""
     fillers = ["əəə…", "mmm…", "ə…", "mm…", "m…"] if inv.TONAL_TYPES[label_type][0] else []
-    phones = ["|".join(map(_quoted, x)) for x in (inv.THREE, inv.TWO)] + ["˧[\u0329\u030d]", "|".join(inv.ONE)]
-    marks = ["|".join(inv.CONTOUR_TONES), "|".join(inv.LEVEL_TONES), r"\[[^\]]*\]", "|".join(map(_quoted, inv.TONE_GROUP_MARKS))]
-    return fillers + phones + marks + ["|".join(map(_quoted, inv.SYMBOLS)), r"[ \t\n]"]
+    phones = inv.THREE + inv.TWO + ["˧\u0329", "˧\u030d"] + inv.ONE
+    return in_order(fillers + phones + inv.CONTOUR_TONES + inv.LEVEL_TONES + inv.TONE_GROUP_MARKS + inv.SYMBOLS + [" ", "\t", "\n"]) + r"|\[[^\]]*\]"
 
 
 def tonal_residue(text: Column, label_type: str = "phonemes_and_tones") -> Column:
     """What no label, symbol or bracketed remark takes: empty for a tonal text."""
-    return F.regexp_replace(text, "|".join(f"(?:{p})" for p in _tonal_parts(label_type)), "")
+    return F.regexp_replace(text, _tonal_pattern(label_type), "")
 
 
 def segment_tonal(text: Column, label_type: str) -> Column:
@@ -81,7 +94,7 @@ def segment_tonal(text: Column, label_type: str) -> Column:
     if label_type not in inv.TONAL_TYPES:
         raise ValueError(f"unrecognized label type: {label_type}")
     kept = inv.tonal_labels(label_type)
-    found = F.regexp_extract_all(text, F.lit("(" + "|".join(f"(?:{p})" for p in _tonal_parts(label_type)) + ")"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(f"({_tonal_pattern(label_type)})"), F.lit(1))
     left = tonal_residue(text, label_type)
 
     def label(t: Column) -> Column:

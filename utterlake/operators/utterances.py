@@ -37,6 +37,15 @@ def remove_too_short(df: DataFrame, step_ms: int = 10) -> DataFrame:
     return df.where((F.col("end_time") - F.col("start_time")) / F.lit(float(step_ms)) >= F.length("text"))
 
 
+def remove_blank_or_short(df: DataFrame, step_ms: int = 10) -> DataFrame:
+    """``remove_blank_text`` and ``remove_too_short`` in one predicate.
+
+    A lambda binds the text once: pushed below a projection, two filters would compute a segmented text twice.
+    """
+    span = (F.col("end_time") - F.col("start_time")) / F.lit(float(step_ms))
+    return df.where(F.exists(F.array("text"), lambda t: (span >= F.length(t)) & ~is_blank(t)))
+
+
 def shorter_than(df: DataFrame, most_ms: int = 10_000) -> DataFrame:
     return df.where(F.col("end_time") - F.col("start_time") < most_ms)
 

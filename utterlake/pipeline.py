@@ -20,8 +20,7 @@ def clean_utterances(rows: DataFrame, segment: Callable[[Column], Column], keep:
     if keep is not None:
         rows = rows.where(keep)
     rows = utterances.remove_duplicates(rows)
-    rows = rows.withColumn("text", segment(F.col("text")))
-    return utterances.remove_too_short(utterances.remove_blank_text(rows))
+    return utterances.remove_blank_or_short(rows.withColumn("text", segment(F.col("text"))))
 
 
 @dataclass
