@@ -461,3 +461,9 @@ def test_no_rows_break_fitting():
     frame = pd.DataFrame({"text": ["one two three."], "source": [None], "kind": [None], "subjects": [["law"]]})
     chain = subjects.fit_chain(frame, ["law", "sport"], langid.fit_pieces([("eng", "one two three")]))
     assert len(chain.links) == 2
+
+
+def test_every_character_folds_as_the_table_says(spark):
+    chars = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x10010)]]
+    rows = spark.createDataFrame([(c,) for c in chars], "c string").select("c", unify.fold_lookalikes(F.col("c")).alias("f")).collect()
+    assert [r["c"] for r in rows if r["f"] != r["c"].translate(unify._TABLE)] == []

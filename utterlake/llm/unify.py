@@ -36,7 +36,18 @@ _WIDE_AS = "".join(map(chr, range(0x21, 0x7F)))
 LIGATURES = ["ff", "fi", "fl", "ffi", "ffl"]  # from U+FB00 on
 _FROM = CYRILLIC + GREEK + LATIN + MARKS + _WIDE + BLANKS + INVISIBLE
 _TO = CYRILLIC_AS + GREEK_AS + LATIN_AS + MARKS_AS + _WIDE_AS + " " * len(BLANKS)
-_NEEDS = "[\\x00-\\x1f\\x7f-\\xa0`´\\xadɡǝǀʻʼ\\u034f-\\u052f\\u061c\\u115f\\u1160\\u1680\\u17b4\\u17b5\\u180b-\\u180e\\u2000-\\u2010\\u2011\\u2018\\u2019\\u2024\\u2028-\\u202f\\u205f-\\u206f\\u2236\\u3000\\ufb00-\\ufb04\\ufe00-\\ufe0f\\ufeff\\uff01-\\uff5e]"
+
+
+def _outside(changed: str) -> str:
+    """Pattern of one character of ``changed``: the negated class of all others, the widest ranges first, so that a
+    plain character is settled by the first few comparisons."""
+    points = sorted({-1, 0xD7FF, 0xDFFF, 0x10000} | set(map(ord, changed)))
+    ranges = [(a + 1, b - 1) for a, b in zip(points, points[1:]) if b - a > 1 and not 0xD7FF <= a < 0xDFFF]
+    ranges = sorted(ranges, key=lambda r: (r[0] > 0x7E, r[0] - r[1])) + [(0x10000, 0x10FFFF), (0xD7FF, 0xD7FF)]
+    return "[^" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
+_NEEDS = _outside(_FROM + "".join(map(chr, range(0xFB00, 0xFB05))))
 
 
 def fold_lookalikes(text: Column) -> Column:
@@ -64,9 +75,10 @@ def _composed(text: pd.Series) -> pd.Series:
 #: Marks that compose with Latin letters, letters they may compose with, and characters NFC replaces.
 _MARKS = "\\u0300-\\u0314\\u031b\\u0323-\\u0328\\u032d\\u032e\\u0330\\u0331\\u0338\\u0342\\u0345"
 _BELOW = "\\u0302\\u0304\\u0306\\u0307\\u031b\\u0323-\\u0328\\u032d\\u032e\\u0330\\u0331"
+#: A character beyond U+02FF decides; what stands before it is looked at only then.
 _UNORDERED = (
-    f"[A-Za-z\\u00a8\\u00c0-\\u024f\\u0292][{_MARKS}]|\\p{{M}}\\p{{M}}|[\\u1e00-\\u1eff][{_BELOW}]|[<=>]\\u0338|[\\u0370-\\u1dff\\u1f00-\\uffff]\\p{{M}}"
-    "|[\\u0340\\u0341\\u0343\\u0344\\u0374\\u037e\\u0387\\u0958-\\u095f\\u09dc-\\u09df\\u0a33-\\u0a5e\\u0b5c\\u0b5d\\u0f43-\\u0fb9\\u1100-\\u11ff\\u1f71-\\u1ffd\\u2000\\u2001\\u2126\\u212a\\u212b\\u2329\\u232a\\u2adc\\uf900-\\ufaff]"
+    f"[^\\x00-\\u02ff](?:(?<=[A-Za-z\\u00a8\\u00c0-\\u024f\\u0292][{_MARKS}])|(?<=\\p{{M}}\\p{{M}})|(?<=[\\u1e00-\\u1eff][{_BELOW}])|(?<=[<=>]\\u0338)|(?<=[\\u0370-\\u1dff\\u1f00-\\uffff]\\p{{M}})"
+    "|(?<=[\\u0340\\u0341\\u0343\\u0344\\u0374\\u037e\\u0387\\u0958-\\u095f\\u09dc-\\u09df\\u0a33-\\u0a5e\\u0b5c\\u0b5d\\u0f43-\\u0fb9\\u1100-\\u11ff\\u1f71-\\u1ffd\\u2000\\u2001\\u2126\\u212a\\u212b\\u2329\\u232a\\u2adc\\uf900-\\ufaff]))"
 )
 
 
