@@ -42,6 +42,11 @@ def test_sentences(spark, tmp_path):
     good = [r for r in rows if r["error"] is None]
     assert [(r["kind"], r["transcription"], r["start_s"], r["translations"]) for r in good] == [("S", "tə˧", 0.5, ["oui", "yes"]), ("W", "mo", 2.0, [])]
     assert any("neither" in (r["error"] or "") for r in rows)
+    media = spark.createDataFrame([("a", "/m/a.wav"), ("a_HEADMIC", "/m/a_HEADMIC.wav")], "stem string, path string")
+    found = pipeline.sentence_utterances(annotations.sentences(spark, str(tmp_path)), "phonemes_and_tones", media).orderBy("prefix").collect()
+    assert [(r["prefix"], r["start_time"], r["end_time"], r["text"], r["org_media_path"]) for r in found] == [("TEXT/a.0", 500, 1250, "t ə ˧", "/m/a_HEADMIC.wav"), ("TEXT/a.1", 2000, 3000, "m o", "/m/a_HEADMIC.wav")]
+    slices = pipeline.untranscribed_slices(spark.createDataFrame([("x", 20.0), ("y", 3.5)], "prefix string, seconds double"))
+    assert {(r["prefix"], r["start_time"], r["end_time"]) for r in slices.collect()} == {("x.0", 0, 10000), ("x.1", 10000, 20000), ("x.2", 20000, 30000), ("y.0", 0, 10000)}
 
 
 def test_files_and_catalog(spark, tmp_path):
@@ -133,6 +138,9 @@ def test_corpus_end_to_end(spark, tmp_path):
     model, log = pipeline.train_ready(corpus, hidden=5, num_layers=1, min_epochs=1, patience=1, max_epochs=2, callback=seen.append)
     assert len(log) >= 1 and seen[0].keys() == {"epoch", "training_ler", "valid_ler"}
     assert transcribe(model, corpus.examples("test"), corpus.vocabulary()).count() == 1
+    assert pipeline.evaluate(model, corpus, beam=5).first()["n"] == 1
+    assert pipeline.save_run(corpus.catalog, model, log) == 0 and pipeline.save_run(corpus.catalog, model, log) == 1
+    assert corpus.catalog.load("train_log").count() == 2 * len(log) and corpus.catalog.description("run_1")["hidden"] == 5
 
 
 def test_clean_order(spark):

@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from utterlake.errors import UtterlakeError
-from utterlake.operators import batching, features, labels, splits, training, utterances
-from utterlake.operators.model import RecurrentCtc, train
+from utterlake.functions.text import segment_tonal, stem
+from utterlake.operators import batching, features, labels, scoring, splits, training, utterances
+from utterlake.operators.model import RecurrentCtc, train, transcribe
+from utterlake.schema import TRAIN_LOG
 from utterlake.sources import annotations, files
 from utterlake.sources.catalog import Catalog
 
@@ -23,6 +25,33 @@ def clean_utterances(rows: DataFrame, segment: Callable[[Column], Column], keep:
     return utterances.remove_blank_or_short(rows.withColumn("text", segment(F.col("text"))))
 
 
+def sentence_utterances(sentences: DataFrame, label_type: str, media: DataFrame | None = None) -> DataFrame:
+    """Utterances of sentence files: tonal labels of each sentence or word, times in ms.
+
+    The prefix is ``TEXT/`` or ``WORDLIST/``, the file's stem and the number of the sentence; sentences without labels go,
+    their number stays taken. ``media`` (``stem, path``) gives the recording of a file; without it the path is the
+    file's stem. A recording named ``<stem>_HEADMIC`` is preferred.
+    """
+    name = stem(F.col("path"))
+    rows = sentences.where("error IS NULL").select("path", name.alias("stem"), F.when(F.col("root") == "TEXT", "TEXT").otherwise("WORDLIST").alias("kind"), "pos", "start_s", "end_s", segment_tonal(F.coalesce("transcription", F.lit("")), label_type).alias("text"))
+    if media is not None:
+        plain = media.select(F.regexp_replace("stem", "_HEADMIC$", "").alias("stem"), F.struct(F.when(F.col("stem").endswith("_HEADMIC"), 0).otherwise(1).alias("rank"), "path").alias("m"))
+        rows = rows.join(plain.groupBy("stem").agg(F.min("m").alias("m")), "stem").withColumn("medium", F.col("m.path"))
+    else:
+        rows = rows.withColumn("medium", F.col("stem"))
+    prefix = F.concat(F.col("kind"), F.lit("/"), F.concat_ws(".", "stem", F.col("pos").cast("string")))
+    ms = lambda c: F.round(F.col(c) * 1000).cast("bigint")
+    return rows.where("text <> ''").select(
+        F.col("medium").alias("org_media_path"), F.col("path").alias("org_transcription_path"), prefix.alias("prefix"), ms("start_s").alias("start_time"), ms("end_s").alias("end_time"), "text", F.lit(None).cast("string").alias("speaker")
+    )
+
+
+def untranscribed_slices(lengths: DataFrame, seconds: int = 10) -> DataFrame:
+    """Ten-second pieces of recordings without transcription: ``prefix, org_media_path, start_time, end_time``."""
+    rows = features.fixed_slices(lengths.select("prefix", F.floor("seconds").alias("whole")), "prefix", "whole", seconds)
+    return rows.select(F.concat_ws(".", "prefix", F.col("slice").cast("string")).alias("prefix"), F.col("prefix").alias("org_media_path"), (F.col("slice_start") * 1000).alias("start_time"), (F.col("slice_end") * 1000).alias("end_time"))
+
+
 @dataclass
 class Corpus:
     """Tables of a corpus in a catalog: ``utterances, labels, feats, splits``."""
@@ -44,6 +73,17 @@ class Corpus:
         corpus.split()
         return corpus
 
+    @classmethod
+    def from_sentences(cls, spark: SparkSession, source: str, target: str, label_type: str, feat_type: str = "fbank", media: DataFrame | None = None) -> Corpus:
+        """Sentence files; ``media`` (``stem, path, content``) adds features."""
+        corpus = cls(Catalog(spark, target), label_type, feat_type)
+        rows = corpus.catalog.save("utterances", sentence_utterances(annotations.sentences(spark, source), label_type, media))
+        corpus.catalog.save("labels", rows.select("prefix", F.lit(label_type).alias("label_type"), F.col("text").alias("labels")))
+        if media is not None:
+            corpus.add_features(features.cut_audio(media.select("path", "content"), rows))
+        corpus.split()
+        return corpus
+
     @classmethod
     def from_folder(cls, spark: SparkSession, folder: str, target: str, label_type: str, feat_type: str = "fbank") -> Corpus:
         """A prepared folder with ``wav/`` and ``label/``."""
@@ -109,6 +149,24 @@ class CorpusReader:
         return self.corpus.examples(split).withColumn("batch", F.lit(0))
 
 
+def evaluate(model: RecurrentCtc, corpus: Corpus, split: str = "test", beam: int = 100) -> DataFrame:
+    """Hypotheses and references of a split, saved as ``hyps``, and their mean error rate: ``error_rate, n``."""
+    rows = corpus.examples(split)
+    hyps = transcribe(model, rows, corpus.vocabulary(), beam)
+    saved = corpus.catalog.save("hyps", rows.select("prefix", "ref").join(hyps, "prefix"))
+    return scoring.mean_error_rate(saved)
+
+
+def save_run(catalog: Catalog, model: RecurrentCtc, log: list[dict]) -> int:
+    """Keep a run's log and description under the next free number."""
+    runs = catalog.load("train_log").select(F.col("run").alias("name")).distinct() if catalog.exists("train_log") else catalog.spark.createDataFrame([], "name string")
+    number = training.next_run(runs).first()["next_run"]
+    rows = [(str(number), e["epoch"], e["training_ler"], e["valid_ler"], e["last_batch_ler"]) for e in log]
+    catalog.append_missing("train_log", catalog.spark.createDataFrame(rows, TRAIN_LOG), "run")
+    catalog.describe(f"run_{number}", model.description())
+    return number
+
+
 def train_ready(corpus: Corpus, hidden: int = 250, num_layers: int = 2, **stopping) -> tuple[RecurrentCtc, list[dict]]:
     """A small network on all training rows with the batch size their number suggests."""
     rows = corpus.examples("train")
