@@ -120,7 +120,7 @@ _ENGLISH_LIST = f"(SELECT word FROM ({_ENGLISH}) WHERE word NOT IN ('a', 'en') U
 
 @query(f"SELECT seq FROM utterances WHERE text IS NOT NULL AND NOT list_has_any(regexp_extract_all(lower(text), '{_WORDS}'), (SELECT list(word) FROM {_ENGLISH_LIST}))")
 def not_code_switched(spark: SparkSession, d: str) -> DataFrame:
-    return utterances.not_code_switched(table(spark, d, "utterances").select("seq", "text"), _english(spark, d)).select("seq")
+    return utterances.not_code_switched(table(spark, d, "utterances", spread=True).select("seq", "text"), _english(spark, d)).select("seq")
 
 
 @query(
@@ -128,7 +128,7 @@ def not_code_switched(spark: SparkSession, d: str) -> DataFrame:
 SELECT seq, list_filter(ws, lambda x: list_contains(e, x))[1] AS word FROM w WHERE list_has_any(ws, e)"""
 )
 def code_switch_report(spark: SparkSession, d: str) -> DataFrame:
-    return utterances.code_switch_report(table(spark, d, "utterances").select("seq", "text"), _english(spark, d))
+    return utterances.code_switch_report(table(spark, d, "utterances", spread=True).select("seq", "text"), _english(spark, d))
 
 
 # ---- segmentation and text
@@ -136,17 +136,17 @@ def code_switch_report(spark: SparkSession, d: str) -> DataFrame:
 
 @query(rf"SELECT seq, trim(regexp_replace(regexp_replace(text, '{_SPACE}', '', 'g'), '(?s)(.)', '\1 ', 'g')) AS chars FROM utterances")
 def segment_chars(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "utterances").select("seq", text.segment_chars(F.col("text")).alias("chars"))
+    return table(spark, d, "utterances", spread=True).select("seq", text.segment_chars(F.col("text")).alias("chars"))
 
 
 @query(f"SELECT seq, array_to_string(regexp_extract_all(text, '({_alternatives(_INVENTORY)})', 1), ' ') AS labels FROM utterances")
 def segment_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "utterances").select("seq", text.segment_tokens(F.col("text"), _INVENTORY).alias("labels"))
+    return table(spark, d, "utterances", spread=True).select("seq", text.segment_tokens(F.col("text"), _INVENTORY).alias("labels"))
 
 
 @query(f"SELECT seq, array_to_string(regexp_extract_all(lower(text), '({_alternatives(inventories.ORTHOGRAPHIC)})', 1), ' ') AS labels FROM utterances")
 def segment_orthographic(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "utterances").select("seq", text.segment_orthographic(F.col("text")).alias("labels"))
+    return table(spark, d, "utterances", spread=True).select("seq", text.segment_orthographic(F.col("text")).alias("labels"))
 
 
 _TONAL_ALL = _quote(
@@ -169,7 +169,7 @@ SELECT seq, CASE WHEN contains(text, 'BEGAIEMENT') THEN '' ELSE array_to_string(
 )
 def segment_tonal(spark: SparkSession, d: str) -> DataFrame:
     """Utterances that hold nothing but tonal text."""
-    rows = table(spark, d, "utterances").select("seq", "text").where(text.tonal_residue(F.col("text")) == "")
+    rows = table(spark, d, "utterances", spread=True).select("seq", "text").where(text.tonal_residue(F.col("text")) == "")
     return rows.select("seq", text.segment_tonal(F.col("text"), "phonemes_and_tones").alias("labels"))
 
 
@@ -185,17 +185,17 @@ SELECT seq, coalesce(string_agg(c, '' ORDER BY i) FILTER (WHERE before = 0 AND c
 UNION ALL SELECT seq, text FROM utterances WHERE text = '' OR text IS NULL"""
 )
 def remove_brackets(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "utterances").select("seq", text.remove_brackets_content(F.col("text")).alias("text"))
+    return table(spark, d, "utterances", spread=True).select("seq", text.remove_brackets_content(F.col("text")).alias("text"))
 
 
 @query(rf"SELECT seq, array_to_string(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}]+(?:-[\p{{L}}\p{{M}}\p{{N}}]+)*[''’]?'), ' ') AS words FROM utterances")
 def normalise_translation(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "utterances").select("seq", text.normalise_translation(F.col("text"), remove_brackets=False).alias("words"))
+    return table(spark, d, "utterances", spread=True).select("seq", text.normalise_translation(F.col("text"), remove_brackets=False).alias("words"))
 
 
 @query(r"SELECT seq, word, regexp_matches(word, '(?i)^[+-]?((\d(_?\d)*\.?(\d(_?\d)*)?|\.\d(_?\d)*)(e[+-]?\d(_?\d)*)?|inf(inity)?|nan)$') AS is_number FROM (SELECT seq, unnest(list_distinct(string_split(text, ' '))) AS word FROM utterances)")
 def is_number(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "utterances").select("seq", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    words = table(spark, d, "utterances", spread=True).select("seq", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
     return words.select("seq", "word", text.is_number(F.col("word")).alias("is_number"))
 
 

@@ -24,9 +24,17 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
     return spark
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the project's parquet tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """One of the project's parquet tables.
+
+    With ``spread`` a table that would be read by fewer tasks than there are cores (one small file) is dealt out to all
+    of them, for work that costs far more than a shuffle of its columns; a table of many files is read as it lies.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread and df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
 
 
 def shared_dir(spark: SparkSession) -> str:
