@@ -10,18 +10,18 @@ from utterlake.session import materialize, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = turns.speaker_turns(table(spark, sf_dir, "utterances"), table(spark, sf_dir, "speakers"))
+    found = turns.speaker_turns(table(spark, sf_dir, "utterances", spread=True), table(spark, sf_dir, "speakers"))
     return found.select("first_seq", "last_seq", "speaker_code")
 
 
 def p1_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns with their clean text, in parts of at most one time shard, speakers filled forward."""
-    return turns.speaker_turns(table(spark, sf_dir, "utterances"), table(spark, sf_dir, "speakers"), fill_forward=True, with_text=True)
+    return turns.speaker_turns(table(spark, sf_dir, "utterances", spread=True), table(spark, sf_dir, "speakers"), fill_forward=True, with_text=True)
 
 
 def _stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit_from_tables(table(spark, sf_dir, "lang_samples"), table(spark, sf_dir, "speakers"))
-    return langid.language_stretches(table(spark, sf_dir, "utterances"), model)
+    return langid.language_stretches(table(spark, sf_dir, "utterances", spread=True), model)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,27 +66,27 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unify.lookalike_pairs(table(spark, sf_dir, "utterances"))
+    return unify.lookalike_pairs(table(spark, sf_dir, "utterances", spread=True))
 
 
 def p6_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every utterance with the one form of its text."""
-    return unify.with_canonical(table(spark, sf_dir, "utterances").select("seq", "text")).select("seq", "canonical")
+    return unify.with_canonical(table(spark, sf_dir, "utterances", spread=True).select("seq", "text")).select("seq", "canonical")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks.leaks(leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")))
+    return leaks.leaks(leaks.leaked_items(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "eval_items")))
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate documents of each item: copies, and paraphrases that keep its rare words."""
-    found = leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), whole=True)
+    found = leaks.leaked_items(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "eval_items"), whole=True)
     kind = F.when(F.col("held") >= F.col("item_words") * leaks.SHARE, "copy").when(F.col("held") > 0, "part").when(F.col("answers") >= 0.8, "paraphrase")
     return found.withColumn("kind", kind).where("kind IS NOT NULL").select("doc_id", "item_id", "kind", "item_words", "held", F.round("answers", 6).alias("answers"))
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return mixing.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return mixing.mix_sources(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "mix_targets"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,8 +104,8 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = (table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subject_areas", "lang_samples"))
-    return subjects.document_subjects(*tables)
+    rest = (table(spark, sf_dir, t) for t in ("subject_labels", "subject_areas", "lang_samples"))
+    return subjects.document_subjects(table(spark, sf_dir, "documents", spread=True), *rest)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
