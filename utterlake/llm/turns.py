@@ -53,18 +53,19 @@ def spoken_rows(utterances: DataFrame, speakers: DataFrame, with_text: bool = Fa
     ``person`` is the speaker code the label means, else that of the name written in front of the speech, else null.
     Rows of one transcription with equal start, end and text come once, the smallest seq (nulls count as equal).
     """
-    text = without_times(fold_lookalikes(F.col("text")))
     rows = utterances.where("text IS NOT NULL AND seq IS NOT NULL").select(
         F.col("org_transcription_path").alias("path"), "seq", F.col("start_time").alias("start"), F.col("end_time").alias("end"),
-        F.struct(F.xxhash64("text").alias("h"), F.length("text").alias("n")).alias("tid"), "speaker", text.alias("t"),
+        F.struct(F.xxhash64("text").alias("h"), F.length("text").alias("n")).alias("tid"), "speaker", fold_lookalikes(F.col("text")).alias("folded"),
     )
-    cut = rows.withColumn("front", written_front(F.col("t"))).withColumn("rest", F.when(F.col("front") != "", F.expr("substring(t, length(front) + 1)")))
-    cut = cut.withColumn("whole", without_annotations(F.col("t"))).withColumn("rest", without_annotations(F.col("rest")))
+    # One projection for each step, so that no step's expression is repeated in the next.
+    cut = rows.withColumn("t", without_times(F.col("folded"))).withColumn("front", written_front(F.col("t")))
+    cut = cut.withColumn("whole", without_annotations(F.col("t"))).withColumn("rest", without_annotations(F.when(F.col("front") != "", F.expr("substring(t, length(front) + 1)"))))
     cut = cut.withColumn("says", says_speech(F.col("whole"))).withColumn("says_after", F.when(F.col("rest").isNotNull(), says_speech(F.col("rest"))))
-    cut = cut.where("says OR says_after").withColumn("written", F.nullif(F.regexp_replace("front", r"^[^\p{L}]+|[^\p{L}\p{N}]+$", ""), F.lit("")))
+    cut = cut.withColumn("written", F.nullif(F.regexp_replace("front", r"^[^\p{L}]+|[^\p{L}\p{N}]+$", ""), F.lit("")))
     if with_text:
         cut = cut.withColumn("clean", tidy(without_hesitation(F.col("whole")))).withColumn("clean_after", tidy(without_hesitation(F.coalesce("rest", "whole"))))
-    cut = materialize(cut.drop("t", "front", "rest", "whole"), "spoken")
+    # The rows are filtered after they are written: below the projections the filter would parse every text twice.
+    cut = materialize(cut.drop("folded", "t", "front", "rest", "whole"), "spoken").where("says OR says_after")
     labels = cut.select(F.explode(F.array("speaker", "written")).alias("label"))
     persons = label_persons(labels.where("label IS NOT NULL").distinct(), speakers)
     persons = materialize(persons, "persons")
