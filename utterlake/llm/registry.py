@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utterlake.llm import langid, leaks, mixing, pieces, splits, subjects, turns, unify
+from utterlake.llm import clutter, langid, leaks, mixing, pieces, splits, subjects, turns, unify
 from utterlake.session import materialize, table
 
 
@@ -125,7 +125,7 @@ QUERIES = {
 _PERSONS = r"""
   label_tokens AS (
     SELECT label, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(label), '(\S)\s*[\[(].*$', '\1'), '^\s*spk\s*:', ''), '[^a-z0-9]+'), lambda t: t <> '') AS tokens
-    FROM (SELECT DISTINCT speaker AS label FROM utterances WHERE speaker IS NOT NULL)
+    FROM (SELECT DISTINCT label FROM {labels} WHERE label IS NOT NULL)
   ), label_keys AS (
     SELECT label, tokens, unnest(tokens) AS key FROM label_tokens WHERE len(tokens) BETWEEN 1 AND 4
   ), named AS (
@@ -134,9 +134,46 @@ _PERSONS = r"""
     GROUP BY 1 HAVING min(s.speaker_code) = max(s.speaker_code)
   )"""
 
+_PLAIN = [c.replace("'", "''") for c in unify._FROM if ord(c) > 31 or c in unify.BLANKS]
+_FOLDED = "translate(text, '{}', '{}')".format("".join(_PLAIN), unify._TO.replace("'", "''"))
+for _i, _letters in enumerate(unify.LIGATURES):
+    _FOLDED = f"replace({_FOLDED}, '{chr(0xFB00 + _i)}', '{_letters}')"
+_FOLDED = f"nfc_normalize({_FOLDED})"
+
+# RE2 has no look-around: what follows a time or a name is consumed with it, and hesitation is told word by word.
+_TIMES = r"<t=[\d.]+>|\[\d+m\d+s\]|[\[(]?\d{1,3}:\d\d(?::\d\d)?(?:[.,]\d{1,3})?[\])]?(?:\s*-->|\s+-(?:\s|$))?"
+_WRITTEN = r"^[\s>\-–—.…]*(?:[\[<(]\s*(?:S\d{7}|\p{L}[\p{L}., _]{2,48})\s*[\]>)]|(?:S\d{7}|\p{L}[\p{L}., _]{2,48}?)\s*(?::(?:[^\d]|$)|>|\s-(?:\s|$)))"
+_SOUND = "|".join(x for x in clutter.SOUNDS if "-?" not in x) + "|huh+"
+
+
+def _says(column: str) -> str:
+    return rf"len(list_filter(regexp_split_to_array(lower({column}), '[^\p{{L}}\p{{M}}\p{{N}}'']+'), lambda k: regexp_matches(k, '[\p{{L}}\p{{N}}]') AND NOT regexp_full_match(k, '{_SOUND}'))) > 0"
+
+
 SQL = {
+    "p1_found": rf"""
+WITH f AS (
+  SELECT seq, org_transcription_path AS path, start_time AS s, end_time AS e, text, speaker, regexp_replace({_FOLDED}, '{_TIMES}', ' ', 'g') AS t FROM utterances WHERE text IS NOT NULL
+), w AS (SELECT *, regexp_extract(t, '{_WRITTEN}') AS front FROM f
+), x AS (
+  SELECT *, regexp_replace(t, '{clutter.ANNOTATIONS}', ' ', 'g') AS whole, CASE WHEN front <> '' THEN regexp_replace(substr(t, length(front) + 1), '{clutter.ANNOTATIONS}', ' ', 'g') END AS rest,
+    nullif(regexp_replace(regexp_replace(front, '^[^\p{{L}}]+', ''), '[^\p{{L}}\p{{N}}]+$', ''), '') AS written FROM w
+), y AS (SELECT *, {_says("whole")} AS says, {_says("rest")} AS says_after FROM x
+), {_PERSONS.replace("{labels}", "(SELECT speaker AS label FROM y UNION SELECT written FROM y)")}, z AS (
+  SELECT path, seq, s, e, text, coalesce(a.code, b.code, 'unknown') AS person FROM y LEFT JOIN named a ON a.label = y.speaker LEFT JOIN named b ON b.label = y.written
+  WHERE CASE WHEN b.code IS NOT NULL THEN says_after ELSE says END
+), d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path, s, e, text ORDER BY seq) AS copy FROM z) WHERE copy = 1
+), o AS (SELECT *, CASE WHEN person = lag(person) OVER (PARTITION BY path ORDER BY s NULLS FIRST, seq) THEN 0 ELSE 1 END AS fresh FROM d
+), i AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY s NULLS FIRST, seq ROWS UNBOUNDED PRECEDING) AS turn, row_number() OVER (PARTITION BY path ORDER BY s NULLS FIRST, seq) AS nth FROM o)
+SELECT arg_min(seq, nth) AS first_seq, arg_max(seq, nth) AS last_seq, first(person) AS speaker_code FROM i GROUP BY path, turn
+""",
+    "p6_found": f"""
+WITH k AS (SELECT seq, text, {_FOLDED} AS key FROM utterances WHERE text IS NOT NULL)
+SELECT a.seq AS seq_a, b.seq AS seq_b FROM k a JOIN k b ON a.key = b.key AND a.seq < b.seq AND a.text <> b.text WHERE trim(a.key) <> ''
+""",
+    "p6_canonical": f"SELECT seq, {_FOLDED} AS canonical FROM utterances",
     "p4_found": rf"""
-WITH RECURSIVE {_PERSONS}, rows_ AS (
+WITH RECURSIVE {_PERSONS.replace("{labels}", "(SELECT speaker AS label FROM utterances)")}, rows_ AS (
   SELECT DISTINCT org_media_path AS node, speaker AS label, split_part(regexp_extract(prefix, '[^/]*$'), '.', 1) AS story FROM utterances WHERE org_media_path IS NOT NULL
 ), ties AS (
   SELECT DISTINCT node, 'p:' || code AS value, code FROM rows_ JOIN named USING (label)
