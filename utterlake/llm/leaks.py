@@ -9,7 +9,6 @@ alignment of words (longest common subsequence with priced errors) and by the it
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 
@@ -312,13 +311,19 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", ite
                 ends = np.minimum(starts + WINDOW, len(words))
                 met = np.concatenate([[0], np.cumsum(marks)])
                 keep = met[ends] > met[starts]
+                starts, ends = starts[keep], ends[keep]
                 sq = np.concatenate([[0.0], np.cumsum(a * a)])
+                # The windows' length counts repeated terms apart, so it never exceeds the true one.
+                norms = np.sqrt(sq[ends] - sq[starts])
                 best = np.zeros(len(latent.ids))
-                for s, e in zip(starts[keep], ends[keep]):
-                    p = place[terms[s:e]]
-                    inside = p >= 0
-                    # The window's length counts repeated terms apart, so it never exceeds the true one.
-                    np.maximum(best, (a[s:e][inside] @ across[p[inside]]) / math.sqrt(sq[e] - sq[s]), out=best)
+                for b in range(0, len(starts), 512):  # running sums of a bounded stretch of the document
+                    lo, hi = starts[b], ends[min(b + 512, len(ends)) - 1]
+                    p = place[terms[lo:hi]]
+                    held_at = np.flatnonzero(p >= 0)
+                    sums = np.zeros((len(held_at) + 1, len(best)))
+                    np.cumsum(a[lo:hi][held_at, None] * across[p[held_at]], axis=0, out=sums[1:])
+                    first, past = np.searchsorted(held_at, starts[b : b + 512] - lo), np.searchsorted(held_at, ends[b : b + 512] - lo)
+                    np.maximum(best, ((sums[past] - sums[first]) / norms[b : b + 512, None]).max(axis=0), out=best)
                 for k in np.flatnonzero(best >= cosine):
                     item = latent.words[k]
                     answers = float(np.isin(rare[k], words).mean()) if whole and len(rare[k]) else 0.0
