@@ -191,6 +191,22 @@ def test_choose_totals_is_closest():
         assert all(chosen["test"].get(s, 0) + chosen["train"].get(s, 0) == n for s, n in sizes.items())
 
 
+@pytest.mark.parametrize("size", [3, 5, 14, 38])
+def test_large_totals_are_exact(size):
+    """Ten million rows: a multiple of the size lies within half a size of 5 %, and with some ones 5 % is met exactly."""
+    n = 10_000_000 // size
+    shares = [("test", 0.05), ("valid", 0.05), ("train", 0.9)]
+    chosen = splits.choose_totals([(size, n)], shares)
+    for name in ("test", "valid"):
+        assert abs(sum(s * k for s, k in chosen[name].items()) - 0.05 * size * n) <= size / 2 + 1
+    sizes = {size: n, 977: 40, 1: 60}
+    total = sum(s * k for s, k in sizes.items())
+    chosen = splits.choose_totals(list(sizes.items()), shares)
+    for name in ("test", "valid"):
+        assert sum(s * k for s, k in chosen[name].items()) == round(0.05 * total)
+    assert all(sum(chosen[name].get(s, 0) for name in chosen) == k for s, k in sizes.items())
+
+
 def test_assign_splits(spark):
     members = spark.createDataFrame([(f"c{k}", k % 7 + 1, "e") for k in range(300)] + [("c0", 4, "e"), (None, 3, "e"), ("z", None, "e")], "component string, n int, split string")
     targets = spark.createDataFrame([("test", 0.05), ("train", 0.9), ("valid", 0.05)], "split_name string, share double")

@@ -6,8 +6,10 @@ table of parents; subset-sum bitsets over the multiplicities of component sizes
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,8 +17,6 @@ from pyspark.sql import functions as F
 from utterlake.session import discard, materialize
 
 SALT = 16
-#: Bits of a subset-sum bitset; beyond, sizes are counted in larger units.
-MOST_BITS = 1 << 18
 BUCKETS = 1024
 
 
@@ -66,12 +66,21 @@ def ties_of(utterances: DataFrame, persons: DataFrame) -> DataFrame:
     return named.unionByName(stories).distinct()
 
 
+def _ones(bits: int) -> np.ndarray:
+    """Places of the set bits, in order."""
+    held = np.frombuffer(bits.to_bytes((bits.bit_length() + 7) // 8, "little"), dtype=np.uint8)
+    some = np.flatnonzero(held)
+    row, bit = np.nonzero(np.unpackbits(held[some, None], axis=1, bitorder="little"))
+    return some[row] * 8 + bit
+
+
 def choose_totals(sizes: Sequence[tuple[int, int]], shares: Sequence[tuple[str, float]]) -> dict[str, dict[int, int]]:
     """For each split how many components of each size it takes; ``sizes`` are (size, count).
 
     The split of the largest share takes what remains. The others, from the least share on, take the subset whose total
-    is closest to share x all (below wins ties), found among all subset sums up to twice the target. Totals beyond
-    ``MOST_BITS`` are counted in units; then the choice is the closest in units.
+    is closest to share x all (below wins ties), found among all subset sums up to twice the target. Sizes count in full
+    at any total: a bitset holds the sums, and each sum remembers the step that first reached it (two bytes for most
+    histograms), which is all that the way back needs. The steps end once the target is met.
     """
     left = {int(s): int(n) for s, n in sizes if s > 0 and n > 0}
     total = sum(s * n for s, n in left.items())
@@ -79,32 +88,37 @@ def choose_totals(sizes: Sequence[tuple[int, int]], shares: Sequence[tuple[str,
     chosen: dict[str, dict[int, int]] = {}
     for name, share in order[:-1]:
         target = round(share * total)
-        unit = max(1, -(-2 * target // MOST_BITS))
-        limit = 2 * target // unit
-        mask = (1 << (limit + 1)) - 1
-        steps: list[tuple[int, int, int]] = []
-        bits = 1
+        unit = math.gcd(*left) or 1  # every sum is a multiple of it, so nothing is rounded
+        aim, limit = target // unit, 2 * target // unit
+        steps: list[tuple[int, int]] = []
         for s in sorted(left, reverse=True):
-            u, n, chunk = max(1, round(s / unit)), left[s], 1
-            n = min(n, limit // u)
+            n, chunk = min(left[s], limit // (s // unit)), 1
             while n > 0:
                 k = min(chunk, n)
-                steps.append((s, k, bits))
-                bits |= (bits << (u * k)) & mask
+                steps.append((s, k))
                 n, chunk = n - k, chunk * 2
-        aim = target // unit
-        below = bits & ((1 << (aim + 1)) - 1)
-        low = below.bit_length() - 1
+        mask = (1 << (limit + 1)) - 1
+        first = np.zeros(limit + 1, dtype=np.min_scalar_type(len(steps)))
+        bits = 1
+        for step, (s, k) in enumerate(steps):
+            grown = bits | (bits << (s // unit * k)) & mask
+            first[_ones(grown ^ bits)] = step
+            bits = grown
+            if target % unit == 0 and bits >> aim & 1:
+                break
+        low = (bits & ((1 << (aim + 1)) - 1)).bit_length() - 1
         above = bits >> (aim + 1)
         high = aim + 1 + ((above & -above).bit_length() - 1) if above else None
-        at = high if high is not None and high - aim < aim - low else low
+        at = high if high is not None and high * unit - target < target - low * unit else low
         taken: dict[int, int] = {}
-        for s, k, before in reversed(steps):
-            if not before >> at & 1:
-                taken[s] = taken.get(s, 0) + k
-                at -= max(1, round(s / unit)) * k
+        while at:  # what is left of a sum without its last step was reached before that step
+            s, k = steps[int(first[at])]
+            taken[s] = taken.get(s, 0) + k
+            at -= s // unit * k
         for s, k in taken.items():
             left[s] -= k
+            if not left[s]:
+                del left[s]
         chosen[name] = taken
     chosen[order[-1][0]] = dict(left)
     return chosen
