@@ -139,6 +139,19 @@ def test_stretches(spark, model):
     assert langid.mislabelled(langid.language_stretches(utter(spark, []), model)).count() == 0
 
 
+def test_all_names_fit_the_model(spark):
+    """Those at the end of the alphabet too, in any number; without names there is no model of them."""
+    rng = random.Random(4)
+    names = [f"{x.capitalize()} {y.capitalize()}" for x, y in zip(words(rng, 4500), words(rng, 4500))] + ["Zuzo Zozuŋꜩ"] * 9
+    rows = [(la, t) for la, some in SENTENCES.items() for t in some]
+    samples = spark.createDataFrame(rows, "lang string, text string")
+    speakers = spark.createDataFrame([(n,) for n in [*names, None, ""]], "full_name string")
+    got, want = langid.fit_from_tables(samples, speakers.repartition(3)), langid.fit_pieces(rows, names)
+    assert got.langs == want.langs and got.names >= 0
+    assert got.probs == pytest.approx(want.probs, rel=1e-9)
+    assert langid.fit_from_tables(samples, speakers.where("false")).langs == langid.fit_pieces(rows).langs
+
+
 def test_held_out_accuracy():
     con = pytest.importorskip("duckdb").connect()
     rows = con.execute("SELECT sample_id, lang, text FROM '/root/testdata/sf0.001/lang_samples.parquet'").fetchall()

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from utterlake.llm.clutter import SOUNDS, without_annotations, without_times
 from utterlake.llm.unify import fold_lookalikes, fold_text
+from utterlake.session import discard, materialize
 
 #: The vocabulary file; its folder is described in its README.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -29,8 +30,6 @@ LONGEST_PIECE = 16
 LEAST_WORDS, LEAST_CHARACTERS = 5, 8
 #: Nats that a change of language costs, and the most that one word says against a language.
 CHANGE, CLIP = 6.0, 5.0
-#: Names used to fit the model of names, at most.
-MOST_NAMES = 4_000
 NAME = "*name"
 _HAN = re.compile("[㐀-䶿一-鿿豈-﫿]|[^㐀-䶿一-鿿豈-﫿]+")
 _HAS_HAN = re.compile("[㐀-䶿一-鿿豈-﫿]")
@@ -139,8 +138,77 @@ def vocabulary(path: str = VOCABULARY) -> dict[str, int]:
     return {model.id_to_piece(i): i for i in range(model.get_piece_size())}
 
 
-def fit_pieces(samples: Iterable[tuple[str, str]], names: Iterable[str] = (), path: str = VOCABULARY, rounds: int = 4, smooth: float = 0.002) -> PieceModel:
-    """Fit on (language, text) pairs and on invented names.
+def expected_pieces(pieces: dict[str, int], words: Sequence[str], counts: Sequence[int], p: np.ndarray | None = None) -> np.ndarray:
+    """Expected uses of each piece in ``words`` under ``p``, over all segmentations; without ``p``, its edges in their lattices.
+
+    Words of one length share the steps of the forward and the backward pass.
+    """
+    total = np.zeros(len(pieces))
+    by_length: dict[int, list[int]] = {}
+    for r, w in enumerate(words):
+        by_length.setdefault(len(w) + 1, []).append(r)
+    for length, rows in by_length.items():
+        marked = ["▁" + words[r] for r in rows]
+        edges = []
+        for j in range(1, length + 1):
+            for i in range(max(0, j - LONGEST_PIECE), j):
+                ids = np.array([pieces.get(w[i:j], -1) for w in marked])
+                spelt = {k: [pieces[f"<0x{b:02X}>"] for b in marked[k][i].encode()] for k in np.flatnonzero(ids < 0)} if i == j - 1 else {}
+                edges.append((i, j, ids, spelt))
+        uses = [np.ones(len(rows))] * len(edges)
+        if p is not None:
+            weights = [np.where(ids >= 0, p[ids], 0.0) for _, _, ids, _ in edges]
+            for x, (_, _, _, spelt) in zip(weights, edges):
+                for k, some in spelt.items():
+                    x[k] = p[some].prod()
+            ahead, back = np.zeros((2, length + 1, len(rows)))
+            ahead[0] = back[length] = 1.0
+            for (i, j, _, _), x in zip(edges, weights):
+                ahead[j] += ahead[i] * x
+            for (i, j, _, _), x in zip(reversed(edges), reversed(weights)):
+                back[i] += back[j] * x
+            whole = ahead[length]
+            each = np.divide(np.array([counts[r] for r in rows], dtype=float), whole, out=np.zeros(len(rows)), where=whole > 0)
+            uses = [each * ahead[i] * x * back[j] for (i, j, _, _), x in zip(edges, weights)]
+        for (_, _, ids, spelt), n in zip(edges, uses):
+            np.add.at(total, ids[ids >= 0], n[ids >= 0])
+            for k, some in spelt.items():
+                np.add.at(total, some, n[k])
+    return total
+
+
+class NameWords:
+    """The words of all full names with their counts, kept in a table; only sums over pieces reach the driver."""
+
+    def __init__(self, speakers: DataFrame, pieces: dict[str, int]):
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                found = Counter(x.lower() for n in batch["full_name"] for x in words_of(fold_text(n)))
+                yield pd.DataFrame({"word": list(found), "n": list(found.values())}).astype({"word": object, "n": "int64"})
+
+        rows = speakers.where("full_name IS NOT NULL").select("full_name").mapInPandas(count, "word string, n bigint")
+        self.table = materialize(rows.groupBy("word").agg(F.sum("n").alias("n")), "names")
+        self.size, self.held = len(pieces), speakers.sparkSession.sparkContext.broadcast(pieces)
+
+    def expected(self, p: np.ndarray | None = None) -> np.ndarray:
+        """``expected_pieces`` summed over all words."""
+        held = self.held
+
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(len(held.value))
+            for batch in batches:
+                total += expected_pieces(held.value, batch["word"].tolist(), batch["n"].tolist(), p)
+            at = np.flatnonzero(total)
+            yield pd.DataFrame({"piece": at, "n": total[at]})
+
+        out = np.zeros(self.size)
+        for r in self.table.mapInPandas(add, "piece bigint, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
+            out[r["piece"]] = r["n"]
+        return out
+
+
+def fit_pieces(samples: Iterable[tuple[str, str]], names: Iterable[str] | DataFrame = (), path: str = VOCABULARY, rounds: int = 4, smooth: float = 0.002) -> PieceModel:
+    """Fit on (language, text) pairs and on invented names, a list or a table with ``full_name`` of any number of rows.
 
     Each language's probabilities are a mixture of expected piece counts and a uniform share ``smooth`` over the pieces
     seen in any language and the bytes. Capitalised words inside a sentence that look more like a name than like the
@@ -160,21 +228,26 @@ def fit_pieces(samples: Iterable[tuple[str, str]], names: Iterable[str] = (), pa
             if n == words[lang][w] <= 2:  # never met in lower case nor as a first word
                 del words[lang][w]
     langs = sorted(words)
-    if names := Counter(x.lower() for n in names for x in words_of(fold_text(n))):
+    spread = NameWords(names, pieces) if isinstance(names, DataFrame) else None
+    met: list[int] = []  # pieces of the names in the table
+    if spread:
+        met = np.flatnonzero(spread.expected()).tolist()
+    elif names := Counter(x.lower() for n in names for x in words_of(fold_text(n))):
         words[NAME] = names
+    if met or NAME in words:
         langs.append(NAME)
     lexicon: dict[str, int] = {}  # word -> bit set of the languages in whose sentences it stands
     for c, lang in enumerate(x for x in langs if x != NAME):
         for w in words[lang]:
             lexicon[w] = lexicon.get(w, 0) | 1 << c
     model = PieceModel(langs, pieces, np.zeros((len(pieces), len(langs))), lexicon)
-    used = sorted({k for c in words.values() for w in c for _, _, ids in model.edges("▁" + w) for k in ids} | {k for p, k in pieces.items() if p.startswith("<0x")})
+    used = sorted({k for c in words.values() for w in c for _, _, ids in model.edges("▁" + w) for k in ids} | {k for p, k in pieces.items() if p.startswith("<0x")} | set(met))
     for c, lang in enumerate(langs):
         p = np.zeros(len(pieces))
         p[used] = 1 / len(used)
-        lattices = [(n, len(w) + 1, list(model.edges("▁" + w))) for w, n in words[lang].items()]
+        lattices = [(n, len(w) + 1, list(model.edges("▁" + w))) for w, n in words.get(lang, {}).items()]
         for _ in range(rounds):
-            expected = np.zeros(len(pieces))
+            expected = spread.expected(p) if spread and lang == NAME else np.zeros(len(pieces))
             for n, length, edges in lattices:
                 weights = [math.prod(p[k] for k in ids) for _, _, ids in edges]
                 ahead, back = [1.0] + [0.0] * length, [0.0] * length + [1.0]
@@ -191,6 +264,8 @@ def fit_pieces(samples: Iterable[tuple[str, str]], names: Iterable[str] = (), pa
             p += (1 - smooth) * expected / max(expected.sum(), 1e-9)
         p[p == 0] = smooth / len(pieces) / 10
         model.probs[:, c] = p
+    if spread:
+        discard(spread.table)
     return model
 
 
@@ -356,12 +431,9 @@ def _segmenter(held) -> Segmenter:
 
 
 def fit_from_tables(samples: DataFrame, speakers: DataFrame | None = None, path: str = VOCABULARY) -> PieceModel:
-    """Fit on ``lang_samples`` (``lang``, ``text``; a fixed table) and at most ``MOST_NAMES`` names of ``speakers``."""
+    """Fit on ``lang_samples`` (``lang``, ``text``; a fixed table) and on the names of all ``speakers``."""
     rows = [(r["lang"], r["text"]) for r in samples.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").collect()]
-    names = []
-    if speakers is not None:
-        names = [r["full_name"] for r in speakers.where("full_name IS NOT NULL").select("full_name").orderBy("full_name").limit(MOST_NAMES).collect()]
-    return fit_pieces(rows, names, path)
+    return fit_pieces(rows, () if speakers is None else speakers, path)
 
 
 def mislabelled(stretches: DataFrame, least_words: int = LEAST_WORDS, least_characters: int = LEAST_CHARACTERS) -> DataFrame:
