@@ -366,6 +366,18 @@ def test_held_words_against_brute_force():
     assert leaks.held_words(np.array(item), long) == 24
 
 
+def test_errors_near_the_ends_of_a_passage():
+    rng = random.Random(12)
+    for size, wrong in [(12, [k]) for k in range(1, 11)] + [(16, [4, 10]), (16, [2, 13]), (16, [1, 5]), (20, [2, 17]), (24, [1, 2, 22])]:
+        for kind in ("change", "drop", "add"):
+            item = [rng.randrange(1000) for _ in range(24)]
+            part = item[:size]
+            for k in reversed(wrong):
+                part[k : k + 1] = {"change": [5000], "drop": [], "add": [5000, part[k]]}[kind]
+            doc = [rng.randrange(2000, 3000) for _ in range(5)] + part + [rng.randrange(2000, 3000) for _ in range(5)]
+            assert leaks.held_words(np.array(item), np.array(doc)) == brute_held(item, doc) >= size
+
+
 def test_leaks(spark):
     rng = random.Random(9)
     items = [(k, " ".join(words(rng, 40)), "x", "t") for k in range(12)] + [(90, None, "x", "t"), (91, "", "x", "t")]

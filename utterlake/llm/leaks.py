@@ -228,14 +228,32 @@ def held_words(item: np.ndarray, doc: np.ndarray, passage: int = PASSAGE, per_er
     return int((~free).sum())
 
 
+def _beyond(same: np.ndarray, most: int) -> list[int]:
+    """How an alignment can go on from the corner of ``same``: the most words of the item, ending on equal words, for each
+    number of errors up to ``most``."""
+    n, m = same.shape
+    if not n or not m:
+        return [0]
+    errors = np.empty((n + 1, m + 1), dtype=np.int32)
+    along = errors[0] = np.arange(m + 1, dtype=np.int32)
+    for i in range(1, n + 1):
+        row = errors[i - 1] + 1
+        np.minimum(row[1:], errors[i - 1, :-1] + ~same[i - 1], out=row[1:])
+        errors[i] = np.minimum.accumulate(row - along) + along
+    least = np.where(same, errors[1:, 1:], n + m).min(axis=1)
+    return [int(np.flatnonzero(np.append(True, least <= e))[-1]) for e in range(most + 1)]
+
+
 def _take_passages(item: np.ndarray, doc: np.ndarray, free: np.ndarray, passage: int, per_error: int, enough: float) -> None:
     """Mark in ``free`` the words of ``item`` in passages of ``doc``, found by local alignment, one after the other.
 
-    Within an alignment the longest stretch that keeps the allowance of errors is taken.
+    An alignment is carried on over its ends, since an error near the end of a passage costs more than the words beyond
+    it earn; the longest stretch that keeps the allowance of errors is taken.
     """
     n, m, price = len(item), len(doc), 4.0
     same = (item[:, None] == doc[None, :]) & free[:, None]
     offsets = np.arange(m + 1) * price
+    bound = min(k - (price + 1) * (k // per_error) for k in range(passage, passage + 4 * per_error))
     while (~free).sum() < enough:
         h = np.zeros((n + 1, m + 1))
         for i in range(1, n + 1):
@@ -245,32 +263,55 @@ def _take_passages(item: np.ndarray, doc: np.ndarray, free: np.ndarray, passage:
             row = np.maximum.accumulate(row + offsets) - offsets  # words added in the document
             h[i] = np.maximum(row, 0)
         i, j = np.unravel_index(int(h.argmax()), h.shape)
-        if h[i, j] < passage - 1 - price * (passage // per_error):
+        if h[i, j] < bound:
             return
-        steps: list[tuple[int, bool]] = []  # word of the item, whether it is an error
+        past = (int(i), int(j))
+        steps: list[tuple[int, int, bool]] = []  # word of the item, of the document, whether it is an error
         while h[i, j] > 1e-9:
             if i and j and abs(h[i, j] - h[i - 1, j - 1] - (1.0 if same[i - 1, j - 1] else -price)) < 1e-6:
-                steps.append((i - 1, not same[i - 1, j - 1]))
+                steps.append((i - 1, j - 1, not same[i - 1, j - 1]))
                 i, j = i - 1, j - 1
             elif i and abs(h[i, j] - h[i - 1, j] + price) < 1e-6:
-                steps.append((i - 1, True))
+                steps.append((i - 1, -1, True))
                 i -= 1
             else:
-                steps.append((-1, True))
+                steps.append((-1, j - 1, True))
                 j -= 1
         steps.reverse()
-        errors = np.cumsum([0] + [e for _, e in steps])
-        length, first = 0, 0
-        for a in range(len(steps)):
-            for b in range(len(steps), a + max(length, passage - 1), -1):
-                if not steps[a][1] and not steps[b - 1][1] and (errors[b] - errors[a]) * per_error <= b - a:
-                    length, first = b - a, a
+        most = n // per_error
+        lo, hi = max(0, j - i - most), past[1] + n - past[0] + most
+        before, after = _beyond(same[:i, lo:j][::-1, ::-1], most), _beyond(same[past[0] :, past[1] : hi], most)
+        errors = np.cumsum([0] + [e for _, _, e in steps])
+        words = np.cumsum([0] + [x >= 0 for x, _, _ in steps])
+        length, best = 0, None
+        for x, left in enumerate(before):
+            for y, right in enumerate(after):
+                whole = left + right + int(words[-1])
+                if whole > length and (x + y + errors[-1]) * per_error <= whole:
+                    length, best = whole, (i - left, past[0] + right)
+        # Or a part of the alignment, with what lies beyond the end that it reaches.
+        equal = [k for k, (_, _, e) in enumerate(steps) if not e]
+        for a in equal:
+            for b in reversed(equal):
+                inner = int(words[b + 1] - words[a])
+                ways = [(0, 0, 0, 0)]
+                if a == 0:
+                    ways += [(x, left, 0, 0) for x, left in enumerate(before)]
+                if b == len(steps) - 1:
+                    ways += [(0, 0, y, right) for y, right in enumerate(after)]
+                elif inner <= length and a:
                     break
-        taken = [x for x, _ in steps[first : first + length] if x >= 0]
-        if len(taken) >= passage:
-            free[taken] = False
-        tried = [x for x, _ in steps if x >= 0]
-        same[taken if len(taken) >= passage else tried] = False
+                for x, left, y, right in ways:
+                    whole = inner + left + right
+                    if whole > length and (x + y + errors[b + 1] - errors[a]) * per_error <= whole:
+                        length, best = whole, (steps[a][0] - left, steps[b][0] + 1 + right)
+        if best is not None and length >= passage:
+            free[best[0] : best[1]] = False
+            same[best[0] : best[1]] = False
+        else:  # no passage goes through these pairs
+            for x, y, error in steps:
+                if not error:
+                    same[x, y] = False
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", cosine: float = COSINE, whole: bool = False) -> DataFrame:
