@@ -400,6 +400,18 @@ def test_leaks(spark):
     assert report["held"] == 19 and report["item_words"] == 40
 
 
+def test_long_items_and_many_items(spark):
+    """An item of 1,000 words held in scattered passages of twelve words, and more items than share a latent space."""
+    rng = random.Random(15)
+    texts = [words(rng, 1000), *(words(rng, 30) for _ in range(700))]
+    pieces_ = [x for at in range(0, 1000, 20) for x in texts[0][at : at + 12] + words(rng, 12)]
+    docs = [(0, " ".join(pieces_)), *((k, " ".join(words(rng, 20) + texts[k][5:25] + words(rng, 20))) for k in range(1, 701, 10)), (9999, " ".join(words(rng, 2000)))]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    i = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "item_id bigint, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in leaks.leaks(leaks.leaked_items(d, i)).collect()}
+    assert found == {(k, k) for k, _ in docs[:-1]}
+
+
 def test_recall_of_the_latent_index(spark):
     """Against the cosine of all windows with all items without any bound or projection."""
     rng = random.Random(10)

@@ -19,9 +19,13 @@ from pyspark.sql import functions as F
 
 from utterlake.llm.langid import _HAN, _HAS_HAN, _core
 from utterlake.llm.unify import fold_text
+from utterlake.session import materialize
 
-#: Hash space of terms; size and stride of a document's windows in words; least cosine of a candidate; greatest rank.
-TERMS, WINDOW, STRIDE, COSINE, RANK = 1 << 19, 24, 8, 0.2, 512
+#: Hash space of terms; size and stride of a document's windows in words; least cosine of a candidate.
+TERMS, WINDOW, STRIDE, COSINE = 1 << 19, 24, 8, 0.2
+#: Words of a passage of an item and of its overlap with the next: any window's words stand in one passage, and twelve
+#: words in a window of 24 have a cosine of 0.25 with it at even weights. Passages that share a latent space, about.
+SPAN, OVERLAP, TOGETHER = 96, 24, 512
 #: Words of a passage at least, words to one error at most, share of an item's words.
 PASSAGE, PER_ERROR, SHARE = 12, 8, 0.5
 _WORD_CACHE = 400_000
@@ -92,11 +96,26 @@ def term_weights(df: np.ndarray, n: int) -> np.ndarray:
     return ((np.log((n + 1) / (df + 1)) + 0.1) ** 2).astype(np.float32)
 
 
+def item_passages(items: DataFrame) -> DataFrame:
+    """``item`` (a number for each row of ``items``), ``id``, ``part``, ``words`` of overlapping passages of ``SPAN`` words."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for item, i, t in zip(batch["item"], batch["id"], batch["text"]):
+                w = _TOKENS(t)
+                out += [(item, i, k, w[at : at + SPAN].tobytes()) for k, at in enumerate(range(0, max(1, len(w) - OVERLAP), SPAN - OVERLAP))]
+            yield pd.DataFrame(out, columns=["item", "id", "part", "words"])
+
+    rows = items.select(F.monotonically_increasing_id().alias("item"), "id", "text")
+    return materialize(rows.mapInPandas(cut, "item bigint, id bigint, part int, words binary"), "passages")
+
+
 class Latent:
-    """The items in latent space, as rows over their own terms."""
+    """Passages in latent space, as rows over their own terms; ``items`` numbers the item of each."""
 
-    def __init__(self, ids: np.ndarray, terms: np.ndarray, rows: np.ndarray, words: list[np.ndarray], cosine: float = COSINE):
-        self.ids, self.terms, self.rows, self.words = ids, terms, rows, words
+    def __init__(self, items: np.ndarray, terms: np.ndarray, rows: np.ndarray, cosine: float = COSINE):
+        self.items, self.terms, self.rows = items, terms, rows
         # A term is essential if some item needs it: an item's other terms together stay below the threshold.
         essential = np.zeros(len(terms), dtype=bool)
         for row in rows:
@@ -106,15 +125,20 @@ class Latent:
         self.essential = essential
 
 
-def fit_latent(items: DataFrame, weights: np.ndarray, rank: int = RANK, seed: int = 7) -> Latent:
-    """Randomised SVD of the items' TF-IDF rows (``id``, ``text``), summed over partitions.
+def fit_latents(passages: DataFrame, weights: np.ndarray, together: int = TOGETHER) -> list[Latent]:
+    """Latent spaces of about ``together`` passages each, of full rank, so that every passage is held exactly."""
+    blocks = max(1, -(-passages.count() // together))
+    block = F.pmod(F.xxhash64("item", "part"), F.lit(blocks))
+    return [fit_latent(passages.where(block == k), weights) for k in range(blocks)]
+
 
-    One pass over the items sums A'(A G) and (A G)'(A G) for a Gaussian G; what visits the driver is bounded by the hash
-    space and the rank, and by the items, a held-out set of bounded size. With no more items than ``rank`` the latent
-    space holds them exactly.
+def fit_latent(passages: DataFrame, weights: np.ndarray, seed: int = 7) -> Latent:
+    """Randomised SVD of the passages' TF-IDF rows (``item``, ``words``), summed over partitions.
+
+    One pass over the passages sums A'(A G) and (A G)'(A G) for a Gaussian G; what visits the driver is bounded by the
+    hash space and the passages. The rank is their number: nothing is cut off.
     """
-    count = items.count()
-    width = max(1, min(rank, count) + (16 if count > rank else 0))
+    width = max(1, passages.count())
 
     def gauss(terms: np.ndarray) -> np.ndarray:
         return np.stack([np.random.default_rng([seed, int(t)]).standard_normal(width) for t in terms]) if len(terms) else np.zeros((0, width))
@@ -124,8 +148,8 @@ def fit_latent(items: DataFrame, weights: np.ndarray, rank: int = RANK, seed: in
         gram = np.zeros((width, width))
         ids, words = [], []
         for batch in batches:
-            for i, t in zip(batch["id"], batch["text"]):
-                w = _TOKENS(t)
+            for i, raw in zip(batch["item"], batch["words"]):
+                w = np.frombuffer(raw, dtype=np.int64)
                 ids.append(int(i)), words.append(w)
                 terms, n = np.unique(w % TERMS, return_counts=True)
                 if len(terms):
@@ -139,7 +163,7 @@ def fit_latent(items: DataFrame, weights: np.ndarray, rank: int = RANK, seed: in
         matrix = np.stack([sums[k] for k in keys]) if len(keys) else np.zeros((0, width))
         yield pd.DataFrame({"terms": [keys.tobytes()], "sums": [matrix.tobytes()], "gram": [gram.tobytes()], "ids": [np.array(ids, dtype=np.int64).tobytes()], "sizes": [np.array([len(w) for w in words], dtype=np.int64).tobytes()], "words": [np.concatenate([np.zeros(0, dtype=np.int64), *words]).tobytes()]})
 
-    parts = items.coalesce(8).mapInPandas(sketch, "terms binary, sums binary, gram binary, ids binary, sizes binary, words binary").collect()
+    parts = passages.coalesce(8).mapInPandas(sketch, "terms binary, sums binary, gram binary, ids binary, sizes binary, words binary").collect()
     terms = np.unique(np.concatenate([np.zeros(0, dtype=np.int64)] + [np.frombuffer(p["terms"], dtype=np.int64) for p in parts]))
     sums, gram = np.zeros((len(terms), width)), np.zeros((width, width))
     ids: list[int] = []
@@ -155,7 +179,7 @@ def fit_latent(items: DataFrame, weights: np.ndarray, rank: int = RANK, seed: in
     held = values > max(values.max(initial=0), 1e-12) * 1e-9
     b = (vectors[:, held] / np.sqrt(values[held])).T @ sums.T
     left, s, right = np.linalg.svd(b, full_matrices=False)
-    right = right[: min(rank, int((s > 1e-6).sum()))]
+    right = right[: int((s > 1e-6).sum())]
     rows = np.zeros((len(words), len(terms)), dtype=np.float32)
     for r, w in enumerate(words):
         t, n = np.unique(w % TERMS, return_counts=True)
@@ -163,7 +187,22 @@ def fit_latent(items: DataFrame, weights: np.ndarray, rank: int = RANK, seed: in
         a[np.searchsorted(terms, t)] = n * weights[t]
         z = (right @ (a / max(np.linalg.norm(a), 1e-9))) @ right
         rows[r] = z / max(np.linalg.norm(z), 1e-9)
-    return Latent(np.array(ids, dtype=np.int64), terms, rows, words)
+    return Latent(np.array(ids, dtype=np.int64), terms, rows)
+
+
+def _item_words(passages: DataFrame) -> tuple[list[int], list[np.ndarray], dict[int, int]]:
+    """Ids and words of the items, joined from their passages, and the place of each item number."""
+    ids: list[int] = []
+    words: list[np.ndarray] = []
+    place: dict[int, int] = {}
+    for r in passages.orderBy("item", "part").collect():
+        w = np.frombuffer(r["words"], dtype=np.int64)
+        if r["item"] not in place:
+            place[r["item"]] = len(ids)
+            ids.append(r["id"]), words.append(w)
+        else:
+            words[-1] = np.concatenate([words[-1], w[OVERLAP:]])
+    return ids, words, place
 
 
 def _grams(words: np.ndarray, gram: int) -> np.ndarray:
@@ -314,6 +353,32 @@ def _take_passages(item: np.ndarray, doc: np.ndarray, free: np.ndarray, passage:
                     same[x, y] = False
 
 
+def _best_cosines(terms: np.ndarray, weights: np.ndarray, place: np.ndarray, vital: np.ndarray, across: np.ndarray) -> np.ndarray:
+    """The greatest cosine of each passage of a latent space with any window of a document."""
+    best = np.zeros(across.shape[1])
+    marks = vital[terms]
+    if not marks.any():
+        return best
+    a = weights[terms].astype(np.float64)
+    starts = np.arange(0, max(1, len(terms) - WINDOW + STRIDE), STRIDE)
+    ends = np.minimum(starts + WINDOW, len(terms))
+    met = np.concatenate([[0], np.cumsum(marks)])
+    keep = met[ends] > met[starts]
+    starts, ends = starts[keep], ends[keep]
+    sq = np.concatenate([[0.0], np.cumsum(a * a)])
+    # The windows' length counts repeated terms apart, so it never exceeds the true one.
+    norms = np.sqrt(sq[ends] - sq[starts])
+    for b in range(0, len(starts), 512):  # running sums of a bounded stretch of the document
+        lo, hi = starts[b], ends[min(b + 512, len(ends)) - 1]
+        p = place[terms[lo:hi]]
+        held_at = np.flatnonzero(p >= 0)
+        sums = np.zeros((len(held_at) + 1, len(best)))
+        np.cumsum(a[lo:hi][held_at, None] * across[p[held_at]], axis=0, out=sums[1:])
+        first, past = np.searchsorted(held_at, starts[b : b + 512] - lo), np.searchsorted(held_at, ends[b : b + 512] - lo)
+        np.maximum(best, ((sums[past] - sums[first]) / norms[b : b + 512, None]).max(axis=0), out=best)
+    return best
+
+
 def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", cosine: float = COSINE, whole: bool = False) -> DataFrame:
     """Candidates with their checks: ``doc_id, item_id, cosine, item_words, held, answers``.
 
@@ -328,45 +393,35 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", ite
     docs, items = _plain(docs, doc_key, text), _plain(items, item_key, text)
     df, n = document_frequencies(docs)
     weights = term_weights(df, n)
-    latent = fit_latent(items, weights)
-    held = spark.sparkContext.broadcast((latent, weights))
+    passages = item_passages(items)
+    latents = fit_latents(passages, weights)
+    ids, texts, number = _item_words(passages)
+    for latent in latents:
+        latent.items = np.array([number[int(x)] for x in latent.items], dtype=np.int64)
+    held = spark.sparkContext.broadcast((latents, ids, texts, weights))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        latent, weights = held.value
-        place = np.full(TERMS, -1, dtype=np.int32)
-        place[latent.terms] = np.arange(len(latent.terms))
-        vital = np.zeros(TERMS, dtype=bool)
-        vital[latent.terms[latent.essential]] = True
-        across = np.ascontiguousarray(latent.rows.T)
-        rare = [np.unique(w[weights[w % TERMS] >= np.quantile(weights[w % TERMS], 0.8)]) if len(w) else w for w in latent.words]
+        latents, ids, texts, weights = held.value
+        spaces = []
+        for latent in latents:
+            place = np.full(TERMS, -1, dtype=np.int32)
+            place[latent.terms] = np.arange(len(latent.terms))
+            vital = np.zeros(TERMS, dtype=bool)
+            vital[latent.terms[latent.essential]] = True
+            spaces.append((latent.items, place, vital, np.ascontiguousarray(latent.rows.T)))
+        rare = [np.unique(w[weights[w % TERMS] >= np.quantile(weights[w % TERMS], 0.8)]) if len(w) else w for w in texts]
         for batch in batches:
             out = []
             for d, t in zip(batch["id"], batch["text"]):
                 words = _TOKENS(t)
                 terms = words % TERMS
-                marks = vital[terms]
-                if not marks.any():
-                    continue
-                a = weights[terms].astype(np.float64)
-                starts = np.arange(0, max(1, len(words) - WINDOW + STRIDE), STRIDE)
-                ends = np.minimum(starts + WINDOW, len(words))
-                met = np.concatenate([[0], np.cumsum(marks)])
-                keep = met[ends] > met[starts]
-                starts, ends = starts[keep], ends[keep]
-                sq = np.concatenate([[0.0], np.cumsum(a * a)])
-                # The windows' length counts repeated terms apart, so it never exceeds the true one.
-                norms = np.sqrt(sq[ends] - sq[starts])
-                best = np.zeros(len(latent.ids))
-                for b in range(0, len(starts), 512):  # running sums of a bounded stretch of the document
-                    lo, hi = starts[b], ends[min(b + 512, len(ends)) - 1]
-                    p = place[terms[lo:hi]]
-                    held_at = np.flatnonzero(p >= 0)
-                    sums = np.zeros((len(held_at) + 1, len(best)))
-                    np.cumsum(a[lo:hi][held_at, None] * across[p[held_at]], axis=0, out=sums[1:])
-                    first, past = np.searchsorted(held_at, starts[b : b + 512] - lo), np.searchsorted(held_at, ends[b : b + 512] - lo)
-                    np.maximum(best, ((sums[past] - sums[first]) / norms[b : b + 512, None]).max(axis=0), out=best)
-                for k in np.flatnonzero(best >= cosine):
-                    item = latent.words[k]
+                nearest: dict[int, float] = {}
+                for owner, place, vital, across in spaces:
+                    best = _best_cosines(terms, weights, place, vital, across)
+                    for k in np.flatnonzero(best >= cosine):
+                        nearest[int(owner[k])] = max(float(best[k]), nearest.get(int(owner[k]), 0.0))
+                for k in sorted(nearest):
+                    item = texts[k]
                     answers = float(np.isin(rare[k], words).mean()) if whole and len(rare[k]) else 0.0
                     least = SHARE * len(item)
                     may, run = may_hold(item, words)
@@ -376,7 +431,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", ite
                         count = run if run >= max(least, PASSAGE) else held_words(item, words, enough=least)
                     else:
                         count = 0
-                    out.append((d, int(latent.ids[k]), float(best[k]), len(item), count, answers))
+                    out.append((d, ids[k], nearest[k], len(item), count, answers))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "cosine", "item_words", "held", "answers"])
 
     return docs.mapInPandas(search, "doc_id bigint, item_id bigint, cosine double, item_words bigint, held bigint, answers double")
