@@ -539,8 +539,8 @@ AND u.end_time > u.start_time AND u.start_time < (s.slice + 1) * 10000 AND u.end
 )
 def slice_overlaps(spark: SparkSession, d: str) -> DataFrame:
     """Utterances that reach into each slice: intervals meet slices on equal slice numbers, not by a range join."""
-    rows = table(spark, d, "utterances").where("end_time > start_time AND start_time >= 0")
-    touched = rows.select("org_media_path", F.explode(F.expr("sequence(start_time div 10000, (end_time - 1) div 10000)")).alias("slice"))
+    rows = table(spark, d, "utterances").where("end_time > start_time AND end_time > 0")
+    touched = rows.select("org_media_path", F.explode(F.expr("sequence(greatest(start_time, 0) div 10000, (end_time - 1) div 10000)")).alias("slice"))
     counts = touched.groupBy("org_media_path", "slice").agg(F.count("*").alias("n"))
     return fixed_slices(spark, d).select("org_media_path", "slice").join(counts, ["org_media_path", "slice"])
 
