@@ -33,6 +33,12 @@ def test_labels_name_persons(spark):
     assert found == dict.fromkeys(labels[:8], "S0000001")
 
 
+def test_labels_of_many_words_name_persons(spark):
+    labels = ["S0000001 - main speaker of the story", "Tosomela, Tapa T. T. T.", "tapa tapa tosomela tapa tosomela", "the brother of Tapa Tosomela himself"]
+    df = spark.createDataFrame([(x,) for x in labels], "label string")
+    assert {r["label"]: r["code"] for r in turns.label_persons(df, people(spark)).collect()} == dict.fromkeys(labels[:3], "S0000001")
+
+
 def brute_turns(rows):
     """Turns of rows (seq, path, start, end, person, text) that are spoken."""
     out = set()

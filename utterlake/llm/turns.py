@@ -35,7 +35,7 @@ def label_persons(labels: DataFrame, speakers: DataFrame) -> DataFrame:
     plain = F.regexp_replace(F.regexp_replace(F.lower(fold_lookalikes(F.col("label"))), r"(?<=\S)\s*[\[(].*$", ""), r"^\s*(?:spk|speaker)\s*:", "")
     tokens = F.filter(F.split(plain, r"[^\p{L}\p{M}\p{N}']+"), lambda t: t != "")
     asked = labels.where("label IS NOT NULL").select("label").distinct().select("label", tokens.alias("tokens"))
-    asked = asked.where(F.size("tokens").between(1, 4)).select("label", "tokens", F.explode("tokens").alias("key"))
+    asked = asked.select("label", "tokens", F.explode(F.array_distinct("tokens")).alias("key"))
     found = asked.join(speaker_index(speakers), "key")
     rest = F.array_remove("tokens", F.col("key"))
     fits = F.col("first").isNull() | F.forall(rest, lambda t: (t == F.col("first")) | ((F.length(t) == 1) & F.col("first").startswith(t)))
