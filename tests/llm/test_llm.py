@@ -446,12 +446,39 @@ def test_mix(spark):
     for s, r in rows.items():
         assert r["tokens"] == counted.get(s, 0) and r["drawn_tokens"] <= r["capacity"]
         if s not in short:
-            assert r["expected_tokens"] == pytest.approx(r["target_tokens"], rel=0.01)
+            assert r["drawn_tokens"] + r["unlabelled_tokens"] == pytest.approx(r["aimed_tokens"], abs=30)
+            assert r["aimed_tokens"] > r["target_tokens"]  # makes up for what others lack
+    assert sum(r["actual_share"] for r in rows.values()) == pytest.approx(1)
+    assert sum(r["drawn_tokens"] + r["unlabelled_tokens"] for r in rows.values()) == pytest.approx(mix.selectExpr("sum(tokens * repeats)").first()[0])
     assert mix.count() == len(docs) and mix.where("source = 'other' AND repeats > 0").count() == 0
     empty, none = mixing.mix_sources(d.where("false"), goals)
     assert empty.count() == 0 and none.count() == 4
 
 
+def test_shortage_is_made_up_in_proportion():
+    assert mixing.reachable([0.5, 0.3, 0.2], [1000.0, 1000.0, 1000.0], 100) == [50, 30, 20]
+    assert mixing.reachable([0.5, 0.3, 0.2], [1000.0, 1000.0, 0.0], 100) == pytest.approx([62.5, 37.5, 0])
+    assert mixing.reachable([0.5, 0.3, 0.2], [55.0, 1000.0, 0.0], 100) == pytest.approx([55, 45, 0])
+    assert mixing.reachable([0.5, 0.3], [10.0, 10.0], 100) == [10, 10]
+
+
+def test_posteriors_tell_sources_apart(spark):
+    rng = random.Random(8)
+    docs = []
+    for k in range(600):
+        s = ["red", "blue"][k % 2]
+        docs.append((k, " ".join("rb"[(s == "red") != (rng.random() < 0.8)] + str(rng.randrange(40)) for _ in range(12)), s if k >= 60 else None, s))
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, source string, truth string").select("*", *[F.lit(None).cast("string").alias(c) for c in mixing.FIELDS])
+    rows = mixing.materialize(mixing.described(d, ["blue", "red"]), "t")
+    found = rows.join(mixing.source_posteriors(rows, ["blue", "red"], len(mixing.FIELDS)), "row").join(d.select("doc_id", "truth"), "doc_id").collect()
+    assert len(found) == 60 and all(sum(r["p"]) == pytest.approx(1) for r in found)
+    assert sum((r["p"][1] > 0.5) == (r["truth"] == "red") for r in found) >= 57
+    # Sources that no feature tells apart keep their shares.
+    d = spark.createDataFrame([(k, "same words", ["a", "b", "a", None][k % 4], None, None, None) for k in range(400)], "doc_id bigint, text string, source string, collection string, kind string, lang string")
+    rows = mixing.materialize(mixing.described(d, ["a", "b"]), "t")
+    assert all(r["p"][0] == pytest.approx(2 / 3, abs=0.05) for r in mixing.source_posteriors(rows, ["a", "b"], len(mixing.FIELDS)).collect())
+
+
 # ---- subjects
 
 

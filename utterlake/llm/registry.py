@@ -90,7 +90,7 @@ def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.short_sources(_mix(spark, sf_dir)[1])
+    return mixing.short_sources(mixing.fit_mix(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "mix_targets")).plan)
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
