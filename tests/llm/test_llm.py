@@ -355,6 +355,35 @@ def brute_held(item, doc):
     return best
 
 
+def bound(item, doc):
+    return leaks.bands(np.array(item), leaks.Grams(np.array(doc)))[0]
+
+
+def altered(rng, part, wrong):
+    """``part`` with a word changed, dropped or added at ``wrong`` inner places."""
+    out = list(part)
+    for k in sorted(rng.sample(range(1, len(part) - 1), wrong), reverse=True):
+        out[k : k + 1] = rng.choice([[5000 + k], [], [5000 + k, part[k]]])
+    return out
+
+
+@pytest.mark.parametrize("size", [12, 14, 16, 20, 24, 32, 40, 56, 64])
+def test_no_allowed_passage_is_lost(size):
+    """Every number of errors that the size allows, anywhere inside; two passages of one item; bounds hold."""
+    rng = random.Random(size)
+    other = lambda n: [rng.randrange(2000, 3000) for _ in range(n)]
+    for wrong in range(1, size // 8 + 1):
+        for _ in range(12):
+            item = [rng.randrange(1000) for _ in range(round(size / 0.7))]
+            at = rng.randrange(len(item) - size + 1)
+            doc = other(30) + altered(rng, item[at : at + size], wrong) + other(30)
+            held = leaks.held_words(np.array(item), np.array(doc))
+            assert bound(item, doc) >= held >= size
+            twice = item + other(3) + [rng.randrange(1000, 2000) for _ in range(size)]
+            doc = other(9) + altered(rng, twice[-size:], wrong) + other(9) + doc
+            assert bound(twice, doc) >= leaks.held_words(np.array(twice), np.array(doc)) >= 2 * size
+
+
 def test_held_words_against_brute_force():
     rng = random.Random(8)
     for trial in range(6):
@@ -366,8 +395,7 @@ def test_held_words_against_brute_force():
             del doc[13]
         held = leaks.held_words(np.array(item), np.array(doc))
         assert held == brute_held(item, doc) >= 12
-        may, run = leaks.may_hold(np.array(item), np.array(doc))
-        assert may and run <= 16
+        assert bound(item, doc) >= held and leaks.longest_run(np.array(item), leaks.Grams(np.array(doc))) <= 16
     long = np.array([*range(100_000, 150_000), *item, *range(200_000, 250_000)])
     assert leaks.held_words(np.array(item), long) == 24
 

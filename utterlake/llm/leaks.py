@@ -1,10 +1,10 @@
 """Evaluation texts in a training corpus: latent semantic retrieval, then exact checks.
 
-Passages of the evaluation items get TF-IDF vectors (document frequencies counted over the whole corpus, terms hashed)
-and a randomised SVD whose sketch is summed over partitions. Every document is cut into overlapping windows; the cosine
-of each window with each item in the latent space finds candidates. A window whose terms cannot reach the threshold by
-the Cauchy-Schwarz bound is passed over without arithmetic, which loses nothing. Candidates are checked by local
-alignment of words (longest common subsequence with priced errors) and by the item's rare words, its answers.
+One pass over the corpus turns texts into words and counts document frequencies. Passages of the evaluation items get
+TF-IDF vectors and a randomised SVD whose sketch is summed over partitions; its leading directions are the latent space.
+Every document is cut into overlapping windows, which are projected into that space; their cosine with the passages of
+the items whose essential terms the document holds finds candidates. Candidates are checked by dynamic programming over
+words, items and errors, which finds every passage that keeps the allowance, and by the item's rare words, its answers.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,13 +22,20 @@ from utterlake.llm.langid import _HAN, _HAS_HAN, _core
 from utterlake.llm.unify import fold_text
 from utterlake.session import materialize
 
-#: Hash space of terms; size and stride of a document's windows in words; least cosine of a candidate.
-TERMS, WINDOW, STRIDE, COSINE = 1 << 19, 24, 8, 0.2
-#: Words of a passage of an item and of its overlap with the next: any window's words stand in one passage, and twelve
-#: words in a window of 24 have a cosine of 0.25 with it at even weights. Passages that share a latent space, about.
-SPAN, OVERLAP, TOGETHER = 96, 24, 512
+#: Hash space of terms; size and stride of a document's windows in words.
+TERMS, WINDOW, STRIDE = 1 << 19, 24, 8
+#: A candidate's least cosine in the latent space, and the least share of a window's length that lies in that space:
+#: twelve words of a passage in a window of 24 make 0.25 at even weights.
+COSINE, INSIDE = 0.5, 0.2
+#: Words of a passage of an item and of its overlap with the next: any window's words stand in one passage. Passages
+#: that share a latent space, about; share of their squared length that its directions hold, in all and of each at least.
+SPAN, OVERLAP, TOGETHER, ENERGY, LEAST_HELD = 96, 24, 512, 0.95, 0.5
+#: Latent spaces whose items one pass over the corpus searches; bounds what is broadcast.
+SPACES = 16
 #: Words of a passage at least, words to one error at most, share of an item's words.
 PASSAGE, PER_ERROR, SHARE = 12, 8, 0.5
+#: An item's other terms together stay below this share of its length: a window without essential terms is far from it.
+SLIGHT = 0.2
 _WORD_CACHE = 400_000
 
 
@@ -72,19 +80,34 @@ def _plain(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents in which each hashed term stands, over all of ``docs`` (``id``, ``text``), and their number."""
+def corpus_words(docs: DataFrame) -> DataFrame:
+    """One pass over ``docs`` (``id``, ``text``): the words of each as a row of 32-bit terms, and counts.
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Rows of documents hold ``id, words``; the last row of each task holds ``terms`` and in how many of its documents
+    each stands (``found``), with -1 for the documents themselves.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(TERMS, dtype=np.int64), 0
+        names = ["id", "words", "terms", "found"]
+        lists = pa.list_(pa.int64())
         for batch in batches:
-            for t in batch["text"]:
-                seen[np.unique(_TOKENS(t) % TERMS)] += 1
-            n += len(batch)
+            words = [_TOKENS(t) for t in batch.column(1).to_pylist()]
+            for w in words:
+                seen[np.unique(w % TERMS)] += 1
+            k = len(words)
+            n += k
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w.astype(np.uint32).tobytes() for w in words], pa.binary()), pa.nulls(k, lists), pa.nulls(k, lists)], names)
         at = np.flatnonzero(seen)
-        yield pd.DataFrame({"term": np.append(at, -1), "df": np.append(seen[at], n)})
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([np.append(at, -1)], lists), pa.array([np.append(seen[at], n)], lists)], names)
+
+    return docs.select("id", "text").mapInArrow(count, "id bigint, words binary, terms array<bigint>, found array<bigint>")
 
-    rows = docs.select("text").mapInPandas(count, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
+
+def document_frequencies(words: DataFrame) -> tuple[np.ndarray, int]:
+    """Documents in which each hashed term stands, over the whole corpus (see ``corpus_words``), and their number."""
+    rows = words.where("id IS NULL").select(F.explode(F.arrays_zip("terms", "found")).alias("x"))
+    rows = rows.groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.found").alias("df")).toPandas()
     out = np.zeros(TERMS, dtype=np.float64)
     real = rows[rows["term"] >= 0]
     out[real["term"].to_numpy()] = real["df"].to_numpy()
@@ -112,31 +135,74 @@ def item_passages(items: DataFrame) -> DataFrame:
 
 
 class Latent:
-    """Passages in latent space, as rows over their own terms; ``items`` numbers the item of each."""
-
-    def __init__(self, items: np.ndarray, terms: np.ndarray, rows: np.ndarray, cosine: float = COSINE):
-        self.items, self.terms, self.rows = items, terms, rows
-        # A term is essential if some item needs it: an item's other terms together stay below the threshold.
-        essential = np.zeros(len(terms), dtype=bool)
-        for row in rows:
-            order = np.argsort(np.abs(row))
-            reach = np.sqrt(np.cumsum(row[order].astype(np.float64) ** 2))
-            essential[order[reach >= cosine]] = True
-        self.essential = essential
+    """A latent space: its terms, their coordinates (terms x rank), and passages as unit vectors in it.
 
+    ``items`` numbers the item of each passage; ``postings`` has for each term the passages that need it: a passage's
+    other terms together hold less than ``SLIGHT`` of its length.
+    """
 
-def fit_latents(passages: DataFrame, weights: np.ndarray, together: int = TOGETHER) -> list[Latent]:
-    """Latent spaces of about ``together`` passages each, of full rank, so that every passage is held exactly."""
-    blocks = max(1, -(-passages.count() // together))
-    block = F.pmod(F.xxhash64("item", "part"), F.lit(blocks))
-    return [fit_latent(passages.where(block == k), weights) for k in range(blocks)]
+    def __init__(self, items: np.ndarray, terms: np.ndarray, axes: np.ndarray, rows: np.ndarray):
+        self.items, self.terms = items, terms
+        self.axes = axes.astype(np.float32)
+        within = rows @ axes
+        self.passages = (within / np.maximum(np.linalg.norm(within, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+        held: list[list[int]] = [[] for _ in terms]
+        for k, row in enumerate(rows):
+            own = np.flatnonzero(row)
+            order = own[np.argsort(row[own], kind="stable")]
+            for t in order[np.sqrt(np.cumsum(row[order] ** 2)) >= SLIGHT]:
+                held[t].append(k)
+        self.postings = [np.array(x, dtype=np.int32) for x in held]
+
+    def open(self) -> Latent:
+        """Ready for look-ups by term: ``place`` and ``vital`` over the hash space."""
+        self.place = np.full(TERMS, -1, dtype=np.int32)
+        self.place[self.terms] = np.arange(len(self.terms))
+        self.vital = np.zeros(TERMS, dtype=bool)
+        self.vital[self.terms[[len(x) > 0 for x in self.postings]]] = True
+        return self
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, cosine: float) -> dict[int, float]:
+        """Items near to a window of a document, with the greatest cosine of each. ``terms`` are the document's words."""
+        marks = self.vital[terms]
+        if not marks.any():
+            return {}
+        near = np.unique(np.concatenate([self.postings[p] for p in np.unique(self.place[terms[marks]])]))
+        best = np.zeros(len(near), dtype=np.float32)
+        slots = max(1, -(-(len(terms) - WINDOW) // STRIDE) + 1)
+        per = WINDOW // STRIDE
+        for b in range(0, slots, 512):  # a bounded stretch of the document
+            count = min(512, slots - b)
+            part = terms[b * STRIDE : (b + count - 1) * STRIDE + WINDOW]
+            a = weights[part]
+            slot = np.arange(len(part)) // STRIDE
+            # A word stands in the windows that start in its own stride and in those before it.
+            square = np.bincount(slot, weights=a.astype(np.float64) ** 2, minlength=count + per)
+            length = np.sqrt(np.convolve(square, np.ones(per))[per - 1 : per - 1 + count])
+            at = np.flatnonzero(self.place[part] >= 0)
+            if not len(at):
+                continue
+            used, column = np.unique(self.place[part[at]], return_inverse=True)
+            strides = np.bincount(slot[at] * len(used) + column, weights=a[at], minlength=(count + per) * len(used)).reshape(-1, len(used))
+            sums = np.cumsum(np.concatenate([np.zeros((1, len(used))), strides]), axis=0)
+            windows = (sums[per : per + count] - sums[:count]).astype(np.float32)
+            z = windows @ self.axes[used]
+            inside = np.linalg.norm(z, axis=1)
+            keep = inside > np.maximum(INSIDE * length, 1e-6)
+            if keep.any():
+                np.maximum(best, ((z[keep] / inside[keep, None]) @ self.passages[near].T).max(axis=0), out=best)
+        found: dict[int, float] = {}
+        for k in np.flatnonzero(best >= cosine):
+            item = int(self.items[near[k]])
+            found[item] = max(float(best[k]), found.get(item, 0.0))
+        return found
 
 
 def fit_latent(passages: DataFrame, weights: np.ndarray, seed: int = 7) -> Latent:
     """Randomised SVD of the passages' TF-IDF rows (``item``, ``words``), summed over partitions.
 
     One pass over the passages sums A'(A G) and (A G)'(A G) for a Gaussian G; what visits the driver is bounded by the
-    hash space and the passages. The rank is their number: nothing is cut off.
+    hash space and the passages of one space. The rank is the least that holds ``ENERGY`` of the squared length.
     """
     width = max(1, passages.count())
 
@@ -179,15 +245,20 @@ def fit_latent(passages: DataFrame, weights: np.ndarray, seed: int = 7) -> Laten
     held = values > max(values.max(initial=0), 1e-12) * 1e-9
     b = (vectors[:, held] / np.sqrt(values[held])).T @ sums.T
     left, s, right = np.linalg.svd(b, full_matrices=False)
-    right = right[: int((s > 1e-6).sum())]
-    rows = np.zeros((len(words), len(terms)), dtype=np.float32)
+    rank = 1 + int(np.searchsorted(np.cumsum(s**2), ENERGY * (s**2).sum())) if len(s) else 0
+    rows = np.zeros((len(words), len(terms)))
     for r, w in enumerate(words):
         t, n = np.unique(w % TERMS, return_counts=True)
-        a = np.zeros(len(terms))
-        a[np.searchsorted(terms, t)] = n * weights[t]
-        z = (right @ (a / max(np.linalg.norm(a), 1e-9))) @ right
-        rows[r] = z / max(np.linalg.norm(z), 1e-9)
-    return Latent(np.array(ids, dtype=np.int64), terms, rows)
+        a = n * weights[t]
+        rows[r, np.searchsorted(terms, t)] = a / max(np.linalg.norm(a), 1e-9)
+    axes = right[:rank].T
+    # Passages that the leading directions hold to less than half get directions for what is left of them.
+    held = (rows @ axes) @ axes.T
+    lost = (held**2).sum(axis=1) < LEAST_HELD * (rows**2).sum(axis=1)
+    if lost.any():
+        left, sizes, _ = np.linalg.svd((rows - held)[lost].T, full_matrices=False)
+        axes = np.concatenate([axes, left[:, sizes > 1e-6]], axis=1)
+    return Latent(np.array(ids, dtype=np.int64), terms, axes, rows)
 
 
 def _item_words(passages: DataFrame) -> tuple[list[int], list[np.ndarray], dict[int, int]]:
@@ -211,230 +282,209 @@ def _grams(words: np.ndarray, gram: int) -> np.ndarray:
     return sum(words[k : n + k] * np.int64(m) for k, m in zip(range(gram), (1, 6364136223846793005, 1442695040888963407, 3935559000370003845)))
 
 
-def may_hold(item: np.ndarray, doc: np.ndarray, share: float = SHARE, passage: int = PASSAGE, per_error: int = PER_ERROR, gram: int = 4) -> tuple[bool, int]:
-    """Whether ``doc`` can hold ``share`` of ``item``, and the longest run of words that it holds unchanged.
-
-    An error breaks at most ``gram`` of a passage's word grams, so a lower bound of unbroken ones follows; a document
-    with fewer cannot hold enough.
+class Grams:
+    """Word grams of a document in order of their hashes, for look-ups by items."""
+
+    def __init__(self, doc: np.ndarray, gram: int = 4):
+        self.gram, self.words = gram, len(doc)
+        grams = _grams(doc, gram) if len(doc) >= gram else doc[:0]
+        self.order = np.argsort(grams, kind="stable")
+        self.sorted = grams[self.order]
+
+    def met(self, item: np.ndarray) -> np.ndarray:
+        """Which word grams of ``item`` the document holds."""
+        a = _grams(item, self.gram) if len(item) >= self.gram else item[:0]
+        if not len(a) or not len(self.sorted):
+            return np.zeros(len(a), dtype=bool)
+        return self.sorted[np.minimum(np.searchsorted(self.sorted, a), len(self.sorted) - 1)] == a
+
+    def pairs(self, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of equal grams in the item and in the document."""
+        a = _grams(item, self.gram) if len(item) >= self.gram else item[:0]
+        lo, hi = np.searchsorted(self.sorted, a, "left"), np.searchsorted(self.sorted, a, "right")
+        i = np.repeat(np.arange(len(a)), hi - lo)
+        return i, self.order[np.arange(len(i)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)] if len(i) else i
+
+
+def _covered(places: np.ndarray, n: int, gram: int) -> np.ndarray:
+    """Words of an item that stand in the grams at ``places``."""
+    cover = np.zeros(n, dtype=bool)
+    for k in range(gram):
+        cover[places + k] = True
+    return cover
+
+
+def _most(fits: np.ndarray) -> int:
+    """The most words in stretches (start x end) that do not overlap."""
+    n = len(fits)
+    best = np.zeros(n + 1, dtype=np.int64)
+    ends = fits.any(axis=0)
+    for b in range(1, n + 1):
+        best[b] = best[b - 1]
+        if ends[b]:
+            a = np.flatnonzero(fits[:, b])
+            best[b] = max(best[b], int((best[a] + b - a).max()))
+    return int(best[n])
+
+
+def bands(item: np.ndarray, grams: Grams, passage: int = PASSAGE, per_error: int = PER_ERROR) -> tuple[int, list[tuple[int, int]]]:
+    """A bound on the words of ``item`` that a document can hold, and the stretches of it that can hold them.
+
+    The offsets between item and document inside a passage differ by no more than its errors, so its unbroken grams lie
+    in one of the overlapping bands of offsets. Each error takes at most ``gram`` words out of unbroken grams: itself
+    and a run too short for one. So a passage of L words has at least L - gram x (L // per_error) words in them.
     """
-    n = len(item)
-    if n < gram or len(doc) < gram:
-        return False, 0
-    a, b = _grams(item, gram), _grams(doc, gram)
-    near = np.isin(a, b)
-    least = share * n
-    if near.sum() < least * (1 - gram / per_error) - (gram - 1) * least / passage:
-        return False, 0
-    order = np.argsort(b, kind="stable")
-    lo, hi = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
-    i = np.repeat(np.arange(len(a)), hi - lo)
-    j = order[np.concatenate([np.arange(x, y) for x, y in zip(lo, hi)])] if len(i) else i
+    n, gram = len(item), grams.gram
+    i, j = grams.pairs(item)
+    if n < passage or not len(i):
+        return 0, []
+    width = max(1, n // per_error)
+    band = (j - i) // width
+    sizes = np.arange(n + 1)
+    slack = np.where(sizes >= passage, sizes - gram * (sizes // per_error), 2 * n)[np.maximum(sizes[None, :] - sizes[:n, None], 0)]
+    fits = np.zeros((n, n + 1), dtype=bool)
+    regions: list[tuple[int, int]] = []
+    order = np.argsort(band, kind="stable")
+    i, band = i[order], band[order]
+    ids, first = np.unique(band, return_index=True)
+    past = np.append(first[1:], len(band))
+    for k in np.unique(np.concatenate([ids, ids - 1])):
+        lo, hi = np.searchsorted(ids, k), np.searchsorted(ids, k + 2)
+        places = i[first[lo] : past[hi - 1]]
+        if len(places) + gram - 1 < passage - gram:
+            continue
+        sums = np.concatenate([[0], np.cumsum(_covered(places, n, gram))])
+        held = sums[None, :] - sums[:n, None] >= slack
+        if held.any():
+            fits |= held
+            a, b = max(0, int(k - 1) * width), min(grams.words, n + int(k + 3) * width)
+            if regions and a <= regions[-1][0] + 2 * width:
+                regions[-1] = (regions[-1][0], b)
+            else:
+                regions.append((a, b))
+    return _most(fits) if regions else 0, regions
+
+
+def longest_run(item: np.ndarray, grams: Grams) -> int:
+    """The longest run of words of ``item`` that a document holds unchanged, 0 below the size of a gram."""
+    i, j = grams.pairs(item)
+    if not len(i):
+        return 0
     sort = np.lexsort((i, j - i))
     i, d = i[sort], (j - i)[sort]
     breaks = np.flatnonzero((np.diff(i) != 1) | (np.diff(d) != 0))
-    runs = np.diff(np.concatenate([[-1], breaks, [len(i) - 1]]))
-    return True, int(runs.max()) + gram - 1
-
-
-def _regions(item: np.ndarray, doc: np.ndarray, gram: int = 4, most: int = 8192) -> list[tuple[int, int]]:
-    """Stretches of ``doc`` that can hold a passage: around word grams of ``item``, cut with overlap where they are long."""
-    if len(item) < gram or len(doc) < gram:
-        return []
-    reach = len(item) + len(item) // 4 + gram
-    met = np.flatnonzero(np.isin(_grams(doc, gram), _grams(item, gram)))
-    if not len(met):
-        return []
-    cuts = np.flatnonzero(np.diff(met) > 2 * reach)
-    out = []
-    for a, b in zip(met[np.concatenate([[0], cuts + 1])], met[np.concatenate([cuts, [len(met) - 1]])]):
-        lo, hi = max(0, int(a) - reach), min(len(doc), int(b) + reach)
-        step = max(most, 4 * reach)
-        out += [(x, min(x + step, hi)) for x in range(lo, max(lo + 1, hi - 2 * reach), step - 2 * reach)]
-    return out
-
-
-def held_words(item: np.ndarray, doc: np.ndarray, passage: int = PASSAGE, per_error: int = PER_ERROR, enough: float = np.inf) -> int:
-    """Words of ``item`` that ``doc`` holds in passages of at least ``passage`` words with at most one error in ``per_error``.
+    return int(np.diff(np.concatenate([[-1], breaks, [len(i) - 1]])).max()) + grams.gram - 1
+
+
+def _passages(item: np.ndarray, doc: np.ndarray, passage: int, per_error: int, found: np.ndarray) -> None:
+    """Mark in ``found`` (start x end) every stretch of ``item`` that a stretch of ``doc`` equals within its errors.
 
-    An error is a changed, added or dropped word. Passages are looked for around unbroken word grams, so that a document
-    of any length takes bounded memory; words of the item count once. The count ends once it reaches ``enough``.
+    For all starts at once, the least errors of the item's words so far against any stretch of the document that ends at
+    each place. A passage starts and ends on equal words. A start is given up once no end could make up for its errors.
     """
-    free = np.ones(len(item), dtype=bool)
-    for lo, hi in _regions(item, doc):
-        _take_passages(item, doc[lo:hi], free, passage, per_error, enough)
-        if (~free).sum() >= enough:
-            break
-    return int((~free).sum())
-
-
-def _beyond(same: np.ndarray, most: int) -> list[int]:
-    """How an alignment can go on from the corner of ``same``: the most words of the item, ending on equal words, for each
-    number of errors up to ``most``."""
-    n, m = same.shape
-    if not n or not m:
-        return [0]
-    errors = np.empty((n + 1, m + 1), dtype=np.int32)
-    along = errors[0] = np.arange(m + 1, dtype=np.int32)
-    for i in range(1, n + 1):
-        row = errors[i - 1] + 1
-        np.minimum(row[1:], errors[i - 1, :-1] + ~same[i - 1], out=row[1:])
-        errors[i] = np.minimum.accumulate(row - along) + along
-    least = np.where(same, errors[1:, 1:], n + m).min(axis=1)
-    return [int(np.flatnonzero(np.append(True, least <= e))[-1]) for e in range(most + 1)]
-
-
-def _take_passages(item: np.ndarray, doc: np.ndarray, free: np.ndarray, passage: int, per_error: int, enough: float) -> None:
-    """Mark in ``free`` the words of ``item`` in passages of ``doc``, found by local alignment, one after the other.
-
-    An alignment is carried on over its ends, since an error near the end of a passage costs more than the words beyond
-    it earn; the longest stretch that keeps the allowance of errors is taken.
+    n, m = len(item), len(doc)
+    far = n + m
+    along = np.arange(m, dtype=np.int32)
+    starts = np.zeros(0, dtype=np.int64)
+    rows = np.zeros((0, m), dtype=np.int32)  # rows[s, j]: the last word compared with is doc[j]
+    for b in range(n):
+        same = doc == item[b]
+        paired = np.full_like(rows, far)
+        paired[:, 1:] = rows[:, :-1]
+        ended = np.where(same, paired, far).min(axis=1, initial=far) if len(rows) else np.zeros(0, dtype=np.int64)
+        size = b + 1 - starts
+        good = (size >= passage) & (ended * per_error <= size)
+        found[starts[good], b + 1] = True
+        new = np.minimum(paired + ~same, rows + 1)
+        new = np.minimum.accumulate(new - along, axis=1) + along  # words added in the document
+        if same.any() and n - b >= passage:
+            starts = np.append(starts, b)
+            new = np.concatenate([new, np.minimum.accumulate(np.where(same, 0, far) - along)[None].astype(np.int32) + along])
+        alive = new.min(axis=1, initial=far) * per_error <= n - starts if len(new) else np.zeros(0, dtype=bool)
+        rows, starts = (new, starts) if alive.all() else (new[alive], starts[alive])
+
+
+def held_words(item: np.ndarray, doc: np.ndarray, passage: int = PASSAGE, per_error: int = PER_ERROR, least: float = 0, grams: Grams | None = None, most: int = 8192) -> int:
+    """Words of ``item`` that ``doc`` holds in passages of at least ``passage`` words with at most one error in ``per_error``.
+
+    An error is a changed, added or dropped word; a passage starts and ends on equal words. Among all passages those
+    are chosen that do not overlap in the item and hold the most of its words. They are looked for in the bands of
+    unbroken word grams, which every passage has; long stretches are cut with overlap, so that a document of any length
+    takes bounded memory. The answer is 0 where ``least`` cannot be reached.
     """
-    n, m, price = len(item), len(doc), 4.0
-    same = (item[:, None] == doc[None, :]) & free[:, None]
-    offsets = np.arange(m + 1) * price
-    bound = min(k - (price + 1) * (k // per_error) for k in range(passage, passage + 4 * per_error))
-    while (~free).sum() < enough:
-        h = np.zeros((n + 1, m + 1))
-        for i in range(1, n + 1):
-            row = np.zeros(m + 1)
-            row[1:] = np.maximum(h[i - 1, :-1] + np.where(same[i - 1], 1.0, -price), h[i - 1, 1:] - price)
-            np.maximum(row, 0, out=row)
-            row = np.maximum.accumulate(row + offsets) - offsets  # words added in the document
-            h[i] = np.maximum(row, 0)
-        i, j = np.unravel_index(int(h.argmax()), h.shape)
-        if h[i, j] < bound:
-            return
-        past = (int(i), int(j))
-        steps: list[tuple[int, int, bool]] = []  # word of the item, of the document, whether it is an error
-        while h[i, j] > 1e-9:
-            if i and j and abs(h[i, j] - h[i - 1, j - 1] - (1.0 if same[i - 1, j - 1] else -price)) < 1e-6:
-                steps.append((i - 1, j - 1, not same[i - 1, j - 1]))
-                i, j = i - 1, j - 1
-            elif i and abs(h[i, j] - h[i - 1, j] + price) < 1e-6:
-                steps.append((i - 1, -1, True))
-                i -= 1
-            else:
-                steps.append((-1, j - 1, True))
-                j -= 1
-        steps.reverse()
-        most = n // per_error
-        lo, hi = max(0, j - i - most), past[1] + n - past[0] + most
-        before, after = _beyond(same[:i, lo:j][::-1, ::-1], most), _beyond(same[past[0] :, past[1] : hi], most)
-        errors = np.cumsum([0] + [e for _, _, e in steps])
-        words = np.cumsum([0] + [x >= 0 for x, _, _ in steps])
-        length, best = 0, None
-        for x, left in enumerate(before):
-            for y, right in enumerate(after):
-                whole = left + right + int(words[-1])
-                if whole > length and (x + y + errors[-1]) * per_error <= whole:
-                    length, best = whole, (i - left, past[0] + right)
-        # Or a part of the alignment, with what lies beyond the end that it reaches.
-        equal = [k for k, (_, _, e) in enumerate(steps) if not e]
-        for a in equal:
-            for b in reversed(equal):
-                inner = int(words[b + 1] - words[a])
-                ways = [(0, 0, 0, 0)]
-                if a == 0:
-                    ways += [(x, left, 0, 0) for x, left in enumerate(before)]
-                if b == len(steps) - 1:
-                    ways += [(0, 0, y, right) for y, right in enumerate(after)]
-                elif inner <= length and a:
-                    break
-                for x, left, y, right in ways:
-                    whole = inner + left + right
-                    if whole > length and (x + y + errors[b + 1] - errors[a]) * per_error <= whole:
-                        length, best = whole, (steps[a][0] - left, steps[b][0] + 1 + right)
-        if best is not None and length >= passage:
-            free[best[0] : best[1]] = False
-            same[best[0] : best[1]] = False
-        else:  # no passage goes through these pairs
-            for x, y, error in steps:
-                if not error:
-                    same[x, y] = False
-
-
-def _best_cosines(terms: np.ndarray, weights: np.ndarray, place: np.ndarray, vital: np.ndarray, across: np.ndarray) -> np.ndarray:
-    """The greatest cosine of each passage of a latent space with any window of a document."""
-    best = np.zeros(across.shape[1])
-    marks = vital[terms]
-    if not marks.any():
-        return best
-    a = weights[terms].astype(np.float64)
-    starts = np.arange(0, max(1, len(terms) - WINDOW + STRIDE), STRIDE)
-    ends = np.minimum(starts + WINDOW, len(terms))
-    met = np.concatenate([[0], np.cumsum(marks)])
-    keep = met[ends] > met[starts]
-    starts, ends = starts[keep], ends[keep]
-    sq = np.concatenate([[0.0], np.cumsum(a * a)])
-    # The windows' length counts repeated terms apart, so it never exceeds the true one.
-    norms = np.sqrt(sq[ends] - sq[starts])
-    for b in range(0, len(starts), 512):  # running sums of a bounded stretch of the document
-        lo, hi = starts[b], ends[min(b + 512, len(ends)) - 1]
-        p = place[terms[lo:hi]]
-        held_at = np.flatnonzero(p >= 0)
-        sums = np.zeros((len(held_at) + 1, len(best)))
-        np.cumsum(a[lo:hi][held_at, None] * across[p[held_at]], axis=0, out=sums[1:])
-        first, past = np.searchsorted(held_at, starts[b : b + 512] - lo), np.searchsorted(held_at, ends[b : b + 512] - lo)
-        np.maximum(best, ((sums[past] - sums[first]) / norms[b : b + 512, None]).max(axis=0), out=best)
-    return best
+    n = len(item)
+    bound, regions = bands(item, grams or Grams(doc), passage, per_error)
+    if bound < max(least, passage):
+        return 0
+    found = np.zeros((n, n + 1), dtype=bool)
+    longest = n + n // per_error
+    step = max(most, 4 * longest)
+    for lo, hi in regions:
+        for x in range(lo, max(lo + 1, hi - longest), step - longest):
+            _passages(item, doc[x : min(x + step, hi)], passage, per_error, found)
+    return _most(found)
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", cosine: float = COSINE, whole: bool = False) -> DataFrame:
     """Candidates with their checks: ``doc_id, item_id, cosine, item_words, held, answers``.
 
-    Without ``whole`` the count of held words ends once the share is reached, and is 0 where it cannot be.
+    Without ``whole`` candidates that cannot hold the share come with 0, and one whose unchanged words reach it with those.
 
     ``held`` counts the item's words held in passages, ``answers`` the share of the item's rarest words (its names and
-    answers) that stand anywhere in the document, which marks paraphrases. Every document and every item is compared.
-    Null keys or texts give no row; texts without words hold nothing; repeated rows come out repeated; texts of any
-    length are read whole; other columns are ignored; an empty table gives no rows.
+    answers) that stand anywhere in the document, which marks paraphrases. Every document and every item is compared:
+    one pass over the words of the corpus for every ``SPACES`` latent spaces. Null keys or texts give no row; texts
+    without words hold nothing; repeated rows come out repeated; texts of any length are read whole; other columns are
+    ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
     docs, items = _plain(docs, doc_key, text), _plain(items, item_key, text)
-    df, n = document_frequencies(docs)
+    corpus = materialize(corpus_words(docs), "words")
+    df, n = document_frequencies(corpus)
     weights = term_weights(df, n)
     passages = item_passages(items)
-    latents = fit_latents(passages, weights)
-    ids, texts, number = _item_words(passages)
+    blocks = max(1, -(-passages.count() // TOGETHER))
+    block = F.pmod(F.xxhash64("item"), F.lit(blocks))  # an item's passages stay together
+    corpus = corpus.where("id IS NOT NULL").select("id", "words")
+    found = None
+    for first in range(0, blocks, SPACES):
+        part = _searched(corpus, passages, block, range(first, min(first + SPACES, blocks)), weights, cosine, whole)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _searched(corpus: DataFrame, passages: DataFrame, block, some: range, weights: np.ndarray, cosine: float, whole: bool) -> DataFrame:
+    """``leaked_items`` for the items of some blocks."""
+    latents = [fit_latent(passages.where(block == k), weights) for k in some]
+    ids, texts, number = _item_words(passages.where(block.between(some[0], some[-1])))
     for latent in latents:
         latent.items = np.array([number[int(x)] for x in latent.items], dtype=np.int64)
-    held = spark.sparkContext.broadcast((latents, ids, texts, weights))
+    held = corpus.sparkSession.sparkContext.broadcast((latents, ids, texts, weights))
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         latents, ids, texts, weights = held.value
-        spaces = []
-        for latent in latents:
-            place = np.full(TERMS, -1, dtype=np.int32)
-            place[latent.terms] = np.arange(len(latent.terms))
-            vital = np.zeros(TERMS, dtype=bool)
-            vital[latent.terms[latent.essential]] = True
-            spaces.append((latent.items, place, vital, np.ascontiguousarray(latent.rows.T)))
+        spaces = [latent.open() for latent in latents]
         rare = [np.unique(w[weights[w % TERMS] >= np.quantile(weights[w % TERMS], 0.8)]) if len(w) else w for w in texts]
         for batch in batches:
             out = []
-            for d, t in zip(batch["id"], batch["text"]):
-                words = _TOKENS(t)
+            for d, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = np.frombuffer(raw, dtype=np.uint32).astype(np.int64)
                 terms = words % TERMS
                 nearest: dict[int, float] = {}
-                for owner, place, vital, across in spaces:
-                    best = _best_cosines(terms, weights, place, vital, across)
-                    for k in np.flatnonzero(best >= cosine):
-                        nearest[int(owner[k])] = max(float(best[k]), nearest.get(int(owner[k]), 0.0))
+                for space in spaces:
+                    nearest |= space.nearest(terms, weights, cosine)
+                grams = Grams(words) if nearest else None
                 for k in sorted(nearest):
                     item = texts[k]
                     answers = float(np.isin(rare[k], words).mean()) if whole and len(rare[k]) else 0.0
-                    least = SHARE * len(item)
-                    may, run = may_hold(item, words)
-                    if whole:
-                        count = held_words(item, words)
-                    elif may:
-                        count = run if run >= max(least, PASSAGE) else held_words(item, words, enough=least)
-                    else:
-                        count = 0
+                    least = PASSAGE if whole else max(SHARE * len(item), PASSAGE)
+                    met, count = np.flatnonzero(grams.met(item)), 0
+                    if len(met) and 2 * _covered(met, len(item), grams.gram).sum() >= least:
+                        run = 0 if whole else longest_run(item, grams)
+                        count = run if run >= least else held_words(item, words, least=least, grams=grams)
                     out.append((d, ids[k], nearest[k], len(item), count, answers))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "cosine", "item_words", "held", "answers"])
+            columns = list(zip(*out)) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "item_id", "cosine", "item_words", "held", "answers"])
 
-    return docs.mapInPandas(search, "doc_id bigint, item_id bigint, cosine double, item_words bigint, held bigint, answers double")
+    return corpus.mapInArrow(search, "doc_id bigint, item_id bigint, cosine double, item_words bigint, held bigint, answers double")
 
 
 def leaks(candidates: DataFrame, share: float = SHARE) -> DataFrame:
