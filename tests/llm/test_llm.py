@@ -557,7 +557,7 @@ def test_beam_finds_the_likeliest_combination():
     chain = subjects.Chain([f"s{x}" for x in range(k)], [2, 0, 3, 1], np.zeros((1, 1)), [], [], platt=[(1.0, 0.0)] * k)
     features = rng.random((n, 3 * k + 2))
     chain.links = [rng.normal(size=3 + 3 + 2 + link + 1) for link in range(k)]
-    got, _ = subjects.decode(chain, features, beam=32, most=k)
+    got, _ = subjects.decode(chain, features, beam=32)
 
     def score(row, labels):
         total = 0.0
@@ -572,11 +572,45 @@ def test_beam_finds_the_likeliest_combination():
 
 
 def test_no_rows_break_fitting():
-    frame = pd.DataFrame({"text": ["one two three."], "source": [None], "kind": [None], "subjects": [["law"]]})
-    chain = subjects.fit_chain(frame, ["law", "sport"], langid.fit_pieces([("eng", "one two three")]))
+    cut = subjects.SentenceTerms(keep_words=True)
+    terms, sizes = cut("one two three.")
+    frame = pd.DataFrame({"terms": [terms], "sizes": [sizes], "source": [None], "kind": [None], "subjects": [["law"]]})
+    chain = subjects.fit_chain(frame, ["law", "sport"], subjects.language_scores(cut.words, langid.fit_pieces([("eng", "one two three")])))
     assert len(chain.links) == 2
 
 
+def test_short_sentences_count():
+    size = lambda text: subjects.SentenceTerms()(text)[1].tolist()
+    assert size("Yes. The court gave a verdict. No. Why?") == [1, 5, 1, 1]
+    assert size("R. Mudamuba spoke. 1. \n\n K. Rana left. 好。") == [3, 3, 1] and size("A.") == [1] and size("...") == []
+
+
+def test_three_subjects_of_one_document(spark):
+    """A document may be about any number of subjects that hold a quarter of its sentences."""
+    rng = random.Random(21)
+    rows = []
+    for k in range(400):
+        about = rng.sample(sorted(AREAS), rng.choice([0, 1, 2, 3]))
+        parts = [a for a in about for _ in range(5)] + [None] * 2
+        rng.shuffle(parts)
+        rows.append((k, " ".join(sentence(rng, a) for a in parts), "s", "story", set(about)))
+    d = spark.createDataFrame([r[:4] for r in rows], "doc_id bigint, text string, source string, kind string")
+    la = spark.createDataFrame([(r[0], s) for r in rows[:300] for s in (r[4] or {"none"})], "doc_id bigint, subject string")
+    samples = spark.createDataFrame([("eng", " ".join(PLAIN))], "lang string, text string")
+    found: dict[int, set[str]] = {}
+    for r in subjects.document_subjects(d, la, spark.createDataFrame([(a, "") for a in AREAS], "subject string, description string"), samples).collect():
+        found.setdefault(r["doc_id"], set()).add(r["subject"])
+    three = [r for r in rows[300:] if len(r[4]) == 3]
+    assert len(three) > 10 and sum(found.get(r[0]) == r[4] for r in three) >= 0.6 * len(three)
+
+
+def test_the_fitting_sample_is_bounded(spark):
+    d = spark.createDataFrame([(k, "one two three four.", "s", "k") for k in range(50)], "doc_id bigint, text string, source string, kind string")
+    la = spark.createDataFrame([(k, "law") for k in range(50)], "doc_id bigint, subject string")
+    rows, words_ = subjects.labelled_terms(d, la, most=40, most_terms=100)
+    assert len(rows) == 25 and len(words_) == 4 and len(subjects.labelled_terms(d, la, most=10)[0]) == 10
+
+
 def test_every_character_folds_as_the_table_says(spark):
     chars = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x10010)]]
     rows = spark.createDataFrame([(c,) for c in chars], "c string").select("c", unify.fold_lookalikes(F.col("c")).alias("f")).collect()

@@ -3,7 +3,7 @@
 A term model, fitted by expectation maximisation on labelled documents, gives every sentence its subject; the shares of
 sentences are structure features beside the document's terms, source and kind. Classifiers in a chain, each seeing the
 labels before it, model which subjects occur together; their probabilities are calibrated on held-out folds and a beam
-search finds the likeliest combination of at most two subjects.
+search finds the likeliest combination of subjects.
 """
 
 from __future__ import annotations
@@ -17,21 +17,23 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from utterlake.llm.langid import _HAS_HAN, NAME, PieceModel, _core, fit_from_tables
 from utterlake.llm.unify import fold_lookalikes
+from utterlake.session import materialize
 
 NONE = "none"
-#: Labelled documents used for fitting, at most (those of the least hash of doc_id); hash space of terms.
-MOST_LABELLED, TERMS = 20_000, 1 << 18
-#: A document is about a subject in at least this share of its sentences; most subjects of one document.
-SHARE, MOST_SUBJECTS, BEAM = 0.25, 2, 8
+#: Labelled documents used for fitting and terms in them, at most (those of the least hash of doc_id); hash space of terms.
+MOST_LABELLED, MOST_LABELLED_TERMS, TERMS = 20_000, 16_000_000, 1 << 18
+#: A document is about a subject in at least this share of its sentences; width of the beam.
+SHARE, BEAM = 0.25, 8
 EM_ROUNDS, STRAY, SHRINK, FEW = 15, 0.03, 60.0, 3.0
 _CUT = re.compile(r"[.!?。！？]+[\"'”’)\]]*|\n\s*\n|\n(?=\s*(?:[A-Z0-9À-ÞŊƏͰ-Ͽ一-鿿'ʼ(\[]))")
 _CUT_TONES = re.compile(r"[.!?。！？]+[\"'”’)\]]*|\n")
 _TONES = re.compile("[˥˧˩]")
-_LEAD = re.compile(r"^\s*(?:[QA]:|\d+\.?)?\s*$")
+_INITIAL = re.compile(r"(?:^|\s)[^\W\d_㐀-䶿一-鿿豈-﫿]$")
 
 
 class SentenceTerms:
@@ -63,7 +65,10 @@ class SentenceTerms:
         return tuple(found)
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Terms in order and the number of terms of each sentence; sentences without terms are left out."""
+        """Terms in order and the number of terms of each sentence; sentences without terms are left out.
+
+        A lone letter before a full stop is an initial and belongs to what follows.
+        """
         terms: list[int] = []
         sizes: list[int] = []
         known, before = self.known, 0
@@ -71,11 +76,12 @@ class SentenceTerms:
             for token in sentence.split():
                 found = known.get(token)
                 terms += self._new(token) if found is None else found
-            if len(terms) - before > 1:
-                sizes.append(len(terms) - before)
+            size = len(terms) - before
+            if size > 1 or (size == 1 and not _INITIAL.search(sentence)):
+                sizes.append(size)
                 before = len(terms)
-            else:
-                del terms[before:]
+        if len(terms) > before:
+            sizes.append(len(terms) - before)
         return np.array(terms, dtype=np.int64), np.array(sizes, dtype=np.int64)
 
 
@@ -83,12 +89,9 @@ def language_scores(words: dict[int, str], model: PieceModel) -> np.ndarray:
     """Log scores (terms x languages) of the words behind the terms, relative to the likeliest language."""
     langs = [i for i, x in enumerate(model.langs) if x != NAME]
     out = np.zeros((TERMS, len(langs)), dtype=np.float32)
-    cache: dict[str, np.ndarray] = {}
-    for term, word in words.items():
-        if word not in cache:
-            scores = model.score(word)[langs]
-            cache[word] = np.maximum(scores - scores.max(), -5.0)
-        out[term] = cache[word]
+    if words:
+        scores = model.scores(list(words.values()))[:, langs]
+        out[list(words)] = np.maximum(scores - scores.max(axis=1, keepdims=True), -5.0)
     return out
 
 
@@ -206,11 +209,11 @@ def _fit_links(features: np.ndarray, labels: np.ndarray, order: Sequence[int]) -
     return [_logistic(_design(features, k, s, labels[:, list(order[:n])]), labels[:, s]) for n, s in enumerate(order)]
 
 
-def fit_chain(labelled: pd.DataFrame, subjects: Sequence[str], model: PieceModel) -> Chain:
-    """Fit on rows (``text, source, kind, subjects``), the last a list of labels; ``none`` and unknown labels mark no subject.
+def fit_chain(labelled: pd.DataFrame, subjects: Sequence[str], language: np.ndarray) -> Chain:
+    """Fit on rows (``terms, sizes, source, kind, subjects``), the last a list of labels; ``none`` and unknown labels mark no subject.
 
     Features of each half of the documents come from terms fitted on the other half, so that the chain and its
-    calibration see what they will meet; the final terms come from all.
+    calibration see what they will meet; the final terms come from all. ``language``: see ``language_scores``.
     """
     k = len(subjects)
     labels = np.zeros((len(labelled), k))
@@ -218,9 +221,7 @@ def fit_chain(labelled: pd.DataFrame, subjects: Sequence[str], model: PieceModel
         for s in found:
             if s in subjects:
                 labels[r, list(subjects).index(s)] = 1
-    split = SentenceTerms(keep_words=True)
-    docs = [split(t) for t in labelled["text"]]
-    language = language_scores(split.words or {}, model)
+    docs = list(zip(labelled["terms"], labelled["sizes"]))
     sources, kinds = (sorted({v for v in labelled[c] if v is not None}) for c in ("source", "kind"))
     marks = np.concatenate([_marks(list(labelled["source"]), sources), _marks(list(labelled["kind"]), kinds)], axis=1)
     order = sorted(range(k), key=lambda s: (-labels[:, s].sum(), s))
@@ -245,7 +246,7 @@ def fit_chain(labelled: pd.DataFrame, subjects: Sequence[str], model: PieceModel
     return Chain(list(subjects), order, fit_terms(docs, labels, language), sources, kinds, _fit_links(features, labels, order), platt)
 
 
-def decode(chain: Chain, features: np.ndarray, beam: int = BEAM, most: int = MOST_SUBJECTS) -> tuple[np.ndarray, np.ndarray]:
+def decode(chain: Chain, features: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
     """Likeliest labels (documents x subjects) and the probability of each combination, by beam search along the chain."""
     n, k = len(features), len(chain.subjects)
     labels, score = np.zeros((n, 1, k)), np.zeros((n, 1))
@@ -256,7 +257,6 @@ def decode(chain: Chain, features: np.ndarray, beam: int = BEAM, most: int = MOS
         a, b = chain.platt[link]
         z = (a * np.clip(z, -12, 12) + b).reshape(n, width)
         no, yes = score - np.logaddexp(0, z), score - np.logaddexp(0, -z)
-        yes = np.where(labels.sum(axis=2) >= most, -np.inf, yes)
         both = np.concatenate([no, yes], axis=1)
         kept = np.argsort(-both, axis=1, kind="stable")[:, :beam]
         score = np.take_along_axis(both, kept, axis=1)
@@ -267,17 +267,41 @@ def decode(chain: Chain, features: np.ndarray, beam: int = BEAM, most: int = MOS
     return labels[:, 0], np.exp(score[:, 0] - total)
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
-    """``text, source, kind, subjects`` of at most ``most`` labelled documents, those of the least hash of doc_id."""
+def labelled_terms(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, most_terms: int = MOST_LABELLED_TERMS) -> tuple[pd.DataFrame, dict[int, str]]:
+    """``source, kind, subjects, terms, sizes`` of labelled documents, and a word behind each of their terms.
+
+    At most ``most`` documents with at most ``most_terms`` terms in all, those of the least hash of doc_id: the texts
+    are split where they lie, and only hashed terms reach the driver.
+    """
     found = labels.where("doc_id IS NOT NULL AND subject IS NOT NULL").groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
-    found = found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    found = found.withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(most)
     # At most ``most`` ids and label lists: a proven bound, so the documents are not shuffled.
     rows = docs.where("text IS NOT NULL").select("doc_id", fold_lookalikes(F.col("text")).alias("text"), "source", "kind")
-    return rows.join(F.broadcast(found), "doc_id").orderBy("doc_id").drop("doc_id")
+    rows = rows.join(F.broadcast(found), "doc_id").select("place", "text", "source", "kind", "subjects")
+    columns = ["place", "source", "kind", "subjects", "terms", "sizes", "n", "words"]
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cut = SentenceTerms(keep_words=True)
+        for batch in batches:
+            out = []
+            for place, text, source, kind, about in batch.itertuples(index=False):
+                terms, sizes = cut(text)
+                out.append((place, source, kind, list(about), terms.astype(np.int32).tobytes(), sizes.astype(np.int32).tobytes(), len(terms), None))
+            yield pd.DataFrame(out, columns=columns)
+        yield pd.DataFrame([(None, None, None, None, None, None, None, cut.words or {})], columns=columns)
+
+    schema = "place bigint, source string, kind string, subjects array<string>, terms binary, sizes binary, n bigint, words map<int, string>"
+    held = materialize(rows.mapInPandas(split, schema), "labelled")
+    upto = F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("place", "terms").rowsBetween(W.unboundedPreceding, 0))  # rows of a bounded sample
+    sample = held.where("words IS NULL").withColumn("upto", upto).where(F.col("upto") <= most_terms).drop("upto", "words", "n").orderBy("place", "terms").toPandas()
+    for c in ("terms", "sizes"):
+        sample[c] = [np.frombuffer(x, dtype=np.int32).astype(np.int64) for x in sample[c]]
+    words = held.where("words IS NOT NULL").select(F.explode("words").alias("term", "word")).groupBy("term").agg(F.min("word").alias("word"))
+    return sample, {r["term"]: r["word"] for r in words.collect()}
 
 
 def document_subjects(docs: DataFrame, labels: DataFrame, areas: DataFrame, samples: DataFrame) -> DataFrame:
-    """``doc_id, subject, share, probability``: the subjects of every document, at most ``MOST_SUBJECTS`` each.
+    """``doc_id, subject, share, probability``: the subjects of every document.
 
     ``share`` is that of the document's sentences, ``probability`` that of the chosen combination. A null or wordless
     text has no subject; null source and kind are no feature; texts are read whole; repeated rows come out repeated;
@@ -285,10 +309,10 @@ def document_subjects(docs: DataFrame, labels: DataFrame, areas: DataFrame, samp
     """
     schema = "doc_id bigint, subject string, share double, probability double"
     subjects = [r["subject"] for r in areas.where("subject IS NOT NULL").select("subject").distinct().orderBy("subject").collect() if r["subject"] != NONE]
-    rows = labelled_rows(docs, labels).toPandas()
+    rows, words = labelled_terms(docs, labels)
     if not subjects or not len(rows):
         return docs.sparkSession.createDataFrame([], schema)
-    held = docs.sparkSession.sparkContext.broadcast(fit_chain(rows, subjects, fit_from_tables(samples)))
+    held = docs.sparkSession.sparkContext.broadcast(fit_chain(rows, subjects, language_scores(words, fit_from_tables(samples))))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chain, split = held.value, _SPLIT
