@@ -320,6 +320,17 @@ def test_lookalikes(spark):
     assert unify.lookalike_pairs(df.where("false")).count() == 0 and unify.with_canonical(df.where("false")).count() == 0
 
 
+def test_hot_texts_and_rare_forms(spark):
+    """A text that makes up most rows meets its look-alikes; letters of further scripts, wide signs and numerals fold."""
+    rows = [(k, "a", 0, 1, "Mapo Kon" if k < 300 else ["Ｍapo Kon", "Марo Kon", "Μaрo Kon"][k % 3], None) for k in range(306)]
+    pairs = {(r["seq_a"], r["seq_b"]) for r in unify.lookalike_pairs(utter(spark, rows)).collect()}
+    assert pairs == {(a, b) for a in range(306) for b in range(300, 306) if a < b and rows[a][4] != rows[b][4]}
+    df = unify.with_canonical(utter(spark, rows))
+    assert {r["canonical"] for r in df.collect()} == {"Mapo Kon"} and df.count() == 306
+    assert unify.fold_text("ᎪᏢ ՕհՏ νϲ Ⅹ ￠ Ӏ") == "AP OhS vc X ¢ I"
+    assert {unify.fold_text(c) for c in "𝐀αаı"} == {"𝐀", "α", "a", "ı"}
+
+
 def test_only_unordered_marks_visit_python():
     """Whatever NFC would change is found by the pattern that sends texts to Python."""
     pattern = re.compile(unify._UNORDERED.replace("\\\\", "\\").replace("\\p{M}", "[̀-ͯ]"))

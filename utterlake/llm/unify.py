@@ -18,9 +18,11 @@ from pyspark.sql.types import StringType
 from utterlake.session import materialize
 
 # Letters of other scripts drawn like a Latin one, by script, beside the Latin letter.
-CYRILLIC, CYRILLIC_AS = "АВЕЅІЈКМНОРСТУХаеѕіјорсухәһԁԛԝ", "ABESIJKMHOPCTYXaesijopcyxəhdqw"
-GREEK, GREEK_AS = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEZHIKMNOPTYXo"
+CYRILLIC, CYRILLIC_AS = "АВЕЅІЈКМНОРСТУХаеѕіјорсухәһԁԛԝѴѵӀӏҮԌԜԚ", "ABESIJKMHOPCTYXaesijopcyxəhdqwVvIlYGWQ"
+GREEK, GREEK_AS = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϳϲϹͿ", "ABEZHIKMNOPTYXovjcCJ"
 LATIN, LATIN_AS = "ɡǝǀ", "gə|"
+ARMENIAN, ARMENIAN_AS = "ՍՏՕհոսօ", "USOhnuo"
+CHEROKEE, CHEROKEE_AS = "ᎠᎪᎬᎫᎢᎡᎳᎷᎻᏀᏃᏙᏚᏞᏟᏢᏦᏴ", "DAEJTRWMHGZVSLCPKB"
 # Marks drawn alike (apostrophes, hyphens that do not break, one-dot leader, ratio sign).
 MARKS, MARKS_AS = "\u2019\u02bc\u2010\u2011\u2024\u2236", "''--.:"
 #: Blanks of one character.
@@ -31,11 +33,12 @@ INVISIBLE = (
     + "­͏؜ᅟᅠ឴឵᠋᠌᠍᠎﻿"
     + "".join(map(chr, [*range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10)]))
 )
-_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
-_WIDE_AS = "".join(map(chr, range(0x21, 0x7F)))
+#: Wide forms, and Roman numerals of one letter, by their compatibility forms; styled letters have another shape.
+_WIDE = "".join(c for c in map(chr, [*range(0xFF01, 0xFF5F), *range(0xFFE0, 0xFFE7), *range(0x2160, 0x2180)]) if len(unicodedata.normalize("NFKC", c)) == 1)
+_WIDE_AS = unicodedata.normalize("NFKC", _WIDE)
 LIGATURES = ["ff", "fi", "fl", "ffi", "ffl"]  # from U+FB00 on
-_FROM = CYRILLIC + GREEK + LATIN + MARKS + _WIDE + BLANKS + INVISIBLE
-_TO = CYRILLIC_AS + GREEK_AS + LATIN_AS + MARKS_AS + _WIDE_AS + " " * len(BLANKS)
+_FROM = CYRILLIC + GREEK + LATIN + ARMENIAN + CHEROKEE + MARKS + _WIDE + BLANKS + INVISIBLE
+_TO = CYRILLIC_AS + GREEK_AS + LATIN_AS + ARMENIAN_AS + CHEROKEE_AS + MARKS_AS + _WIDE_AS + " " * len(BLANKS)
 
 
 def _outside(changed: str) -> str:
@@ -92,22 +95,40 @@ def with_visual_key(df: DataFrame, text: str, out: str = "key") -> DataFrame:
     return df.withColumn(out, F.coalesce("__composed", "__folded")).drop("__folded", "__composed")
 
 
+#: Copies of the few rows of one side of a join whose other side may hold a hot value.
+SALT = 16
+
+
+def _letters(key: str) -> Column:
+    """Hash of the letters and figures of ``key``. Texts of one class share it: neither the collation nor invisible
+    characters touch them."""
+    return F.xxhash64(F.regexp_replace(key, "[^\\p{L}\\p{N}]+", ""))
+
+
 def with_canonical(df: DataFrame, text: str = "text", out: str = "canonical") -> DataFrame:
     """``df`` with the canonical member of each text's class in ``out``.
 
     The canonical member is the least folded value of the class, so it is the same whatever the order of rows. A null
     text gets null, a text without anything visible its own class of blanks or the empty text; repeated rows get the
-    same value; a column named ``out`` that is there already is replaced; an empty table stays empty. The texts are
-    reduced to distinct ones before the grouping, so a text that makes up a third of all rows costs one row there.
+    same value; a column named ``out`` that is there already is replaced; an empty table stays empty.
+
+    Most folded values are alone in their class and stand for themselves. Only values whose letters stand in two
+    different values are grouped under the collation, and only those that are not canonical are joined back, by hash.
     """
-    held = df.drop(out)
-    texts = held.where(F.col(text).isNotNull()).select(F.col(text).alias("__text")).distinct()
-    texts = with_visual_key(texts, "__text", "__key")
-    texts = texts.select("__text", "__key", F.collate("__key", "UNICODE").alias("__class"))
-    classes = texts.groupBy("__class").agg(F.min("__key").alias(out))
-    members = texts.join(classes, "__class").select("__text", out)
-    salt = F.coalesce(F.col(text), F.concat(F.lit("\u0000null"), F.pmod(F.monotonically_increasing_id(), F.lit(256)).cast("string")))
-    return held.withColumn("__join", salt).join(members, F.col("__join") == F.col("__text"), "left").drop("__join", "__text")
+    held = with_visual_key(df.drop(out), text, "__key")
+    held = held.withColumn("__letters", _letters("__key")).withColumn("__h", F.xxhash64("__key")).withColumn("__g", F.hash("__key"))
+    held = materialize(held, "folded")
+    some = held.where("__key IS NOT NULL").groupBy("__letters").agg(*[f(c).alias(f"{n}{c}") for c in ("__h", "__g") for n, f in (("least", F.min), ("most", F.max))])
+    some = materialize(some.where("least__h < most__h OR least__g < most__g").select("__letters"), "shared")
+    values = held.join(some, "__letters", "left_semi").select("__key", "__h", "__g").distinct()
+    values = values.withColumn("__class", F.collate("__key", "UNICODE"))
+    least = values.groupBy("__class").agg(F.min("__key").alias("__least"))
+    changed = values.join(least, "__class").where(F.col("__key") != F.col("__least")).select("__h", "__g", F.col("__key").alias("__value"), "__least")
+    changed = materialize(changed, "changed").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALT)).cast("int")
+    held = held.withColumn("__salt", salt).join(changed, ["__h", "__g", "__salt"], "left")
+    form = F.when(F.col("__value") == F.col("__key"), F.col("__least")).otherwise(F.col("__key"))
+    return held.withColumn(out, form).drop("__key", "__letters", "__h", "__g", "__salt", "__value", "__least")
 
 
 def lookalike_pairs(df: DataFrame, key: str = "seq", text: str = "text") -> DataFrame:
@@ -119,9 +140,8 @@ def lookalike_pairs(df: DataFrame, key: str = "seq", text: str = "text") -> Data
     A repeated key gives each pair once.
     """
     rows = df.select(F.col(key).alias("seq"), F.col(text).alias("text")).where("seq IS NOT NULL AND text IS NOT NULL")
-    # Texts of one class have the same letters and figures, which neither the collation nor invisible characters touch:
-    # only rows whose letters stand in two different texts go on. Two hashes stand for a text.
-    keyed = with_visual_key(rows, "text").withColumn("letters", F.xxhash64(F.regexp_replace("key", "[^\\p{L}\\p{N}]+", "")))
+    # Only rows whose letters stand in two different texts go on. Two hashes stand for a text.
+    keyed = with_visual_key(rows, "text").withColumn("letters", _letters("key"))
     keyed = materialize(keyed.select("seq", "key", "letters", F.xxhash64("text").alias("tid"), F.hash("text").alias("tie")).where(F.trim("key") != ""), "keyed")
     sides = [f(c).alias(f"{n}_{c}") for c in ("tid", "tie") for n, f in (("least", F.min), ("most", F.max))]
     shared = keyed.groupBy("letters").agg(*sides).where("least_tid < most_tid OR least_tie < most_tie").select("letters")
@@ -131,14 +151,14 @@ def lookalike_pairs(df: DataFrame, key: str = "seq", text: str = "text") -> Data
     texts = texts.withColumn("class", F.collate("key", "UNICODE"))
     hub = F.row_number().over(W.partitionBy("class").orderBy(F.desc("n"), "key", "tid", "tie"))
     texts = texts.withColumn("nth", hub).withColumn("of", F.count("*").over(W.partitionBy("class"))).withColumn("canonical", F.min("key").over(W.partitionBy("class")))
-    texts = texts.where("of > 1").select("tid", "tie", F.col("key").alias("tkey"), F.xxhash64("canonical").alias("cid"), "canonical", (F.col("nth") == 1).alias("hub"))
-    texts = materialize(texts, "lookalikes")
-    held = rows.join(texts, (rows["tid"] == texts["tid"]) & (rows["tie"] == texts["tie"]) & (rows["key"] == texts["tkey"])).select(
-        "seq", rows["tid"], rows["tie"], rows["key"], "canonical", "hub"
-    )
+    texts = texts.where("of > 1").select("tid", "tie", F.col("key").alias("tkey"), "canonical", (F.col("nth") == 1).alias("hub"))
+    # A text or a class may hold a third of all rows: its rows are dealt out under a salt, the few rows that meet them copied.
+    salt, salts = F.pmod(F.xxhash64("seq"), F.lit(SALT)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
+    texts = materialize(texts, "lookalikes").withColumn("salt", salts)
+    held = rows.withColumn("salt", salt).join(texts, ["tid", "tie", "salt"]).where(F.col("key") == F.col("tkey")).select("seq", "tid", "tie", "key", "canonical", "hub")
     held = materialize(held, "lookalike-rows")
-    a = held.where("NOT hub").select(F.col("seq").alias("a"), F.col("tid").alias("ta"), F.col("tie").alias("ua"), F.col("key").alias("ka"), "canonical")
-    b = held.select(F.col("seq").alias("b"), F.col("tid").alias("tb"), F.col("tie").alias("ub"), F.col("key").alias("kb"), "canonical", "hub")
+    a = held.where("NOT hub").select(F.col("seq").alias("a"), F.col("tid").alias("ta"), F.col("tie").alias("ua"), F.col("key").alias("ka"), "canonical", salts.alias("salt"))
+    b = held.select(F.col("seq").alias("b"), F.col("tid").alias("tb"), F.col("tie").alias("ub"), F.col("key").alias("kb"), "canonical", "hub", salt.alias("salt"))
     differ = (F.col("ta") != F.col("tb")) | (F.col("ua") != F.col("ub")) | (F.col("ka") != F.col("kb"))
-    pairs = a.join(b, "canonical").where(differ & (F.col("hub") | (F.col("a") < F.col("b"))) & (F.col("a") != F.col("b")))
+    pairs = a.join(b, ["canonical", "salt"]).where(differ & (F.col("hub") | (F.col("a") < F.col("b"))) & (F.col("a") != F.col("b")))
     return pairs.select(F.least("a", "b").alias("seq_a"), F.greatest("a", "b").alias("seq_b")).distinct()
