@@ -59,6 +59,26 @@ def brute_turns(rows):
     return out
 
 
+def test_names_and_codes_of_any_shape(spark):
+    who = [("x7-q", None), ("K12", "Anne-Marie O'Brien"), ("S0000009", "Ana " + "Maria" * 12)]
+    speakers = spark.createDataFrame([(*p, "here", 1950) for p in who], "speaker_code string, full_name string, community string, birth_year int")
+    texts = ["Anne-Marie O'Brien: we went home", "[K12] we went home", "K12> we went home", "Ana " + "Maria" * 12 + ": we went home", "then K12 said: we went home", "Who: we went home"]
+    got = {r["seq"]: r["person"] for r in turns.spoken_rows(utter(spark, [(k, "a", k, k + 1, t, None) for k, t in enumerate(texts)]), speakers).collect()}
+    assert got == {0: "K12", 1: "K12", 2: "K12", 3: "S0000009", 4: None, 5: None}
+    labels = spark.createDataFrame([("X7-Q",), ("O'Brien, A.-M.",), ("(x7q)",)], "label string")
+    assert {r["label"]: r["code"] for r in turns.label_persons(labels, speakers).collect()} == {"X7-Q": "x7-q", "O'Brien, A.-M.": "K12", "(x7q)": "x7-q"}
+
+
+def test_rows_without_a_start(spark):
+    """They come first, in order of seq, over several shards; copies go however far apart."""
+    rows = [(k, "a", None, None, f"words {k % 9000}", ["S0000001", "S0000002"][k >= 9500]) for k in range(0, 20000, 10)] + [(5, "a", 0, 1, "more", "S0000001")]
+    got = [(r["first_seq"], r["last_seq"], r["speaker_code"]) for r in turns.speaker_turns(utter(spark, rows), people(spark)).collect()]
+    assert got == [(0, 5, "S0000001")]
+    rows[-1] = (5, "a", 0, 1, "more", "S0000002")
+    got = {(r["first_seq"], r["last_seq"], r["speaker_code"]) for r in turns.speaker_turns(utter(spark, rows), people(spark)).collect()}
+    assert got == {(0, 8990, "S0000001"), (5, 5, "S0000002")}
+
+
 @pytest.mark.parametrize("seed", [0, 1])
 def test_turns_equal_brute_force(spark, seed):
     rng = random.Random(seed)

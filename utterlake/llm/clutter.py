@@ -13,8 +13,11 @@ ANNOTATIONS = r"\[+[^\]]*\]+|\(+[^)]*\)+|\{+[^}]*\}+|<[^>]*>|【[^】]*】|〔[^
 SOUNDS = ["u+h+-?huh+", "m+-?h+m+", "u+h*m*", "h+u*m+", "m{2,}h*", "m+h+", "e+u+h*", "h+e+u+", "e+r+m*", "e+h*m+", "e{2,}h*", "e+h+", "ə{2,}", "a+h+", "嗯+", "呃+", "唔+"]
 _WORD = r"\p{L}\p{M}\p{N}'’ʼ"
 HESITATION = rf"(?iu)(?<![{_WORD}])(?:{'|'.join(SOUNDS)})(?![{_WORD}])"
+_NAME = r"\p{L}[\p{L}\p{M}., _'’ʼ\-]*"
+_CODE = r"\p{L}*\d[\p{L}\p{N}]*"
 #: A name or a code of a speaker in front of the speech: [S0000109], <Vala Lutopave>, S0000241>, >> R. Mudamuba:, Dimeseno, Neso -
-WRITTEN = r"^[\s>\-–—.…]*(?:[\[<(]\s*(?:S\d{7}|\p{L}[\p{L}., _]{2,48})\s*[\]>)]|(?:S\d{7}|\p{L}[\p{L}., _]{2,48}?)\s*(?::(?!\d)|>|\s-(?=\s|$)))"
+#: Whether it is anybody's is told by the table of speakers, so names of any length and codes of any shape may match.
+WRITTEN = rf"^[\s>\-–—.…]*(?:[\[<(]\s*(?:{_CODE}|{_NAME})\s*[\]>)]|(?:{_CODE}|{_NAME}?)\s*(?::(?!\d)|>|\s-(?=\s|$)))"
 
 
 #: Letters that a hesitation sound may be made of; any other letter is speech.

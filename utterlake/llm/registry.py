@@ -124,10 +124,10 @@ QUERIES = {
 
 _PERSONS = r"""
   label_tokens AS (
-    SELECT label, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(label), '(\S)\s*[\[(].*$', '\1'), '^\s*spk\s*:', ''), '[^a-z0-9]+'), lambda t: t <> '') AS tokens
+    SELECT label, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(label), '(\S)\s*[\[(].*$', '\1'), '^\s*(?:spk|speaker)\s*:', ''), '[^a-z0-9]+'), lambda t: t <> '') AS tokens
     FROM (SELECT DISTINCT label FROM {labels} WHERE label IS NOT NULL)
   ), label_keys AS (
-    SELECT label, tokens, unnest(tokens) AS key FROM label_tokens WHERE len(tokens) BETWEEN 1 AND 4
+    SELECT label, tokens, unnest(tokens) AS key FROM label_tokens WHERE len(tokens) > 0
   ), named AS (
     SELECT k.label, min(s.speaker_code) AS code FROM label_keys k JOIN speakers s
     ON k.key = lower(s.speaker_code) OR (k.key = lower(split_part(s.full_name, ' ', 2)) AND len(list_filter(k.tokens, lambda t: t <> k.key AND t <> lower(split_part(s.full_name, ' ', 1)) AND NOT (length(t) = 1 AND starts_with(lower(s.full_name), t)))) = 0)
@@ -142,7 +142,8 @@ _FOLDED = f"nfc_normalize({_FOLDED})"
 
 # RE2 has no look-around: what follows a time or a name is consumed with it, and hesitation is told word by word.
 _TIMES = r"<t=[\d.]+>|\[\d+m\d+s\]|[\[(]?\d{1,3}:\d\d(?::\d\d)?(?:[.,]\d{1,3})?[\])]?(?:\s*-->|\s+-(?:\s|$))?"
-_WRITTEN = r"^[\s>\-–—.…]*(?:[\[<(]\s*(?:S\d{7}|\p{L}[\p{L}., _]{2,48})\s*[\]>)]|(?:S\d{7}|\p{L}[\p{L}., _]{2,48}?)\s*(?::(?:[^\d]|$)|>|\s-(?:\s|$)))"
+_NAMED = r"\p{L}*\d[\p{L}\p{N}]*|\p{L}[\p{L}\p{M}., _''’ʼ\-]*"
+_WRITTEN = rf"^[\s>\-–—.…]*(?:[\[<(]\s*(?:{_NAMED})\s*[\]>)]|(?:{_NAMED}?)\s*(?::(?:[^\d]|$)|>|\s-(?:\s|$)))"
 _SOUND = "|".join(x for x in clutter.SOUNDS if "-?" not in x) + "|huh+"
 
 

@@ -7,7 +7,7 @@ transcription first; only the first and the last run of each shard meet per tran
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,36 +15,45 @@ from utterlake.llm.clutter import says_speech, tidy, without_annotations, withou
 from utterlake.llm.unify import fold_lookalikes
 from utterlake.session import materialize
 
-SHARD_MS = 600_000
+#: Length of a time shard; numbers of seq that share a shard where the start is null; copies of the persons in joins.
+SHARD_MS, UNTIMED, SALT = 600_000, 4096, 16
 NOBODY = "unknown"
 
 
+def _tokens(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}']+"), lambda t: t != "")
+
+
 def speaker_index(speakers: DataFrame) -> DataFrame:
-    """``key`` (surname or code in lower case), ``code``, ``first`` (null for a code)."""
-    names = speakers.where("speaker_code IS NOT NULL").select(F.col("speaker_code").alias("code"), F.split(F.lower(fold_lookalikes(F.trim("full_name"))), r"\s+").alias("t"))
-    surnames = names.where(F.size("t") > 1).select(F.element_at("t", -1).alias("key"), "code", F.element_at("t", 1).alias("first"))
-    return names.select(F.lower("code").alias("key"), "code", F.lit(None).cast("string").alias("first")).unionByName(surnames)
+    """``key`` (surname, or code without punctuation, in lower case), ``code``, ``firsts`` (other parts of the name; null for a code)."""
+    names = speakers.where("speaker_code IS NOT NULL").select(F.col("speaker_code").alias("code"), _tokens(fold_lookalikes(F.col("full_name"))).alias("t"))
+    surnames = names.where(F.size("t") > 1).select(F.element_at("t", -1).alias("key"), "code", F.slice("t", 1, F.size("t") - 1).alias("firsts"))
+    return names.select(F.array_join(_tokens(F.col("code")), "").alias("key"), "code", F.lit(None).cast("array<string>").alias("firsts")).unionByName(surnames)
 
 
 def label_persons(labels: DataFrame, speakers: DataFrame) -> DataFrame:
     """``label``, ``code`` for each distinct ``label`` that names exactly one person of ``speakers``.
 
-    A label names a person by code or by surname, alone or with the first name or its initial, in any order, case or
+    A label names a person by code or by surname, alone or with first names or their initials, in any order, case or
     punctuation; what follows in brackets does not count. Nulls, roles and placeholders give no row.
     """
     plain = F.regexp_replace(F.regexp_replace(F.lower(fold_lookalikes(F.col("label"))), r"(?<=\S)\s*[\[(].*$", ""), r"^\s*(?:spk|speaker)\s*:", "")
-    tokens = F.filter(F.split(plain, r"[^\p{L}\p{M}\p{N}']+"), lambda t: t != "")
-    asked = labels.where("label IS NOT NULL").select("label").distinct().select("label", tokens.alias("tokens"))
-    asked = asked.select("label", "tokens", F.explode(F.array_distinct("tokens")).alias("key"))
+    asked = labels.where("label IS NOT NULL").select("label").distinct().select("label", _tokens(plain).alias("tokens"))
+    asked = asked.select("label", "tokens", F.explode(F.array_distinct(F.concat("tokens", F.array(F.array_join("tokens", ""))))).alias("key"))
     found = asked.join(speaker_index(speakers), "key")
     rest = F.array_remove("tokens", F.col("key"))
-    fits = F.col("first").isNull() | F.forall(rest, lambda t: (t == F.col("first")) | ((F.length(t) == 1) & F.col("first").startswith(t)))
+    first = lambda t: F.exists("firsts", lambda f: (t == f) | ((F.length(t) == 1) & f.startswith(t)))
+    fits = F.col("firsts").isNull() | F.forall(rest, first)
     return found.where(fits).groupBy("label").agg(F.min("code").alias("code"), F.max("code").alias("other")).where("code = other").select("label", "code")
 
 
-def _salted(column: str, seq: str):
-    """Null keys spread over many partitions; they match nothing."""
-    return F.coalesce(F.col(column), F.concat(F.lit("\u0000"), F.pmod(F.col(seq), F.lit(1024)).cast("string")))
+def _named(rows: DataFrame, column: str, persons: DataFrame, code: str) -> DataFrame:
+    """``rows`` with the person that ``column`` names. A label may stand in a third of all rows: its rows are dealt out
+    under a salt and the persons, one row for each label, copied; null labels, which name nobody, are dealt out too."""
+    salt = F.pmod(F.xxhash64("seq"), F.lit(SALT)).cast("int")
+    key = F.coalesce(F.col(column), F.concat(F.lit("\u0000"), F.pmod(F.col("seq"), F.lit(1024)).cast("string")))
+    keys = persons.select(F.col("label").alias("__label"), F.col("code").alias(code), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("__salt"))
+    return rows.withColumn("__label", key).withColumn("__salt", salt).join(keys, ["__label", "__salt"], "left").drop("__label", "__salt")
 
 
 def spoken_rows(utterances: DataFrame, speakers: DataFrame, with_text: bool = False) -> DataFrame:
@@ -69,9 +78,7 @@ def spoken_rows(utterances: DataFrame, speakers: DataFrame, with_text: bool = Fa
     labels = cut.select(F.explode(F.array("speaker", "written")).alias("label"))
     persons = label_persons(labels.where("label IS NOT NULL").distinct(), speakers)
     persons = materialize(persons, "persons")
-    by_label = persons.select(F.col("label").alias("l1"), F.col("code").alias("c1"))
-    by_text = persons.select(F.col("label").alias("l2"), F.col("code").alias("c2"))
-    cut = cut.join(by_label, _salted("speaker", "seq") == F.col("l1"), "left").join(by_text, _salted("written", "seq") == F.col("l2"), "left")
+    cut = _named(_named(cut, "speaker", persons, "c1"), "written", persons, "c2")
     cut = cut.where(F.when(F.col("c2").isNotNull(), F.col("says_after")).otherwise(F.col("says")))
     kept = ["path", "seq", "start", "end", "tid", F.coalesce("c1", "c2").alias("person")]
     if with_text:
@@ -89,8 +96,10 @@ def speaker_turns(utterances: DataFrame, speakers: DataFrame, fill_forward: bool
     start: by seq; an empty table gives no rows; other columns are ignored.
     """
     rows = spoken_rows(utterances, speakers, with_text)
-    rows = rows.withColumn("shard", F.coalesce(F.floor(F.col("start") / shard_ms), F.lit(-(2**62))))
-    rows = rows.withColumn("copy", F.row_number().over(W.partitionBy("path", "shard", "start", "end", "tid").orderBy("seq"))).where("copy = 1")
+    rows = rows.withColumn("copy", F.row_number().over(W.partitionBy("path", "start", "end", "tid").orderBy("seq"))).where("copy = 1")
+    # Rows without a start come first, in order of seq, in shards of their own.
+    untimed = F.lit(-(2**62)) + F.floor(F.col("seq") / UNTIMED)
+    rows = rows.withColumn("shard", F.coalesce(F.floor(F.col("start") / shard_ms), untimed))
     order = W.partitionBy("path", "shard").orderBy("start", "seq")
     if fill_forward:
         rows = rows.withColumn("person", F.last("person", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)))
