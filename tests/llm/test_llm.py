@@ -178,6 +178,24 @@ def test_all_names_fit_the_model(spark):
     assert langid.fit_from_tables(samples, speakers.where("false")).langs == langid.fit_pieces(rows).langs
 
 
+def test_confidence_is_calibrated():
+    """On fragments of held-out samples, confidence and accuracy agree to within 0.05 on average."""
+    rows = list(pd.read_parquet("/root/testdata/sf0.001/lang_samples.parquet")[["lang", "text"]].itertuples(index=False, name=None))
+    sure, right = [], []
+    for h in (0, 1):
+        held = langid.fit_pieces([r for k, r in enumerate(rows) if k % 2 != h])
+        cut = langid.Segmenter(held)
+        for lang, text in rows[h::2]:
+            w = langid.words_of(text)
+            for n in (1, 2, 3):
+                for part in (w[a : a + n] for a in range(0, len(w) - n + 1, n)):
+                    if len(found := cut.stretches(" ".join(part))) == 1:
+                        sure.append(found[0][4]), right.append(found[0][0] == lang)
+    sure, right = np.array(sure), np.array(right)
+    level = np.minimum((sure * 10).astype(int), 9)
+    assert len(sure) > 3000 and sum(abs(sure[level == k].sum() - right[level == k].sum()) for k in range(10)) / len(sure) < 0.05
+
+
 def test_held_out_accuracy():
     con = pytest.importorskip("duckdb").connect()
     rows = con.execute("SELECT sample_id, lang, text FROM '/root/testdata/sf0.001/lang_samples.parquet'").fetchall()

@@ -28,8 +28,10 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 LONGEST_PIECE = 16
 #: Words of a language in a row (characters for Chinese) that count as a stretch.
 LEAST_WORDS, LEAST_CHARACTERS = 5, 8
-#: Nats that a change of language costs, and the most that one word says against a language.
-CHANGE, CLIP = 6.0, 5.0
+#: The most nats that one word says against a language: a likelihood ratio of about 150, beyond which the model's tails
+#: decide more than the word. A change of language costs a little more, so that no single word makes a stretch, and a
+#: word that says all it may against a language is no word of it and breaks a row.
+CLIP, CHANGE = 5.0, 6.0
 NAME = "*name"
 _HAN = re.compile("[㐀-䶿一-鿿豈-﫿]|[^㐀-䶿一-鿿豈-﫿]+")
 _HAS_HAN = re.compile("[㐀-䶿一-鿿豈-﫿]")
@@ -60,8 +62,8 @@ def words_of(text: str) -> list[str]:
 class PieceModel:
     """Piece probabilities of each language over one vocabulary."""
 
-    def __init__(self, langs: Sequence[str], pieces: dict[str, int], probs: np.ndarray, lexicon: dict[str, int]):
-        self.langs, self.pieces, self.probs, self.lexicon = list(langs), pieces, probs, lexicon
+    def __init__(self, langs: Sequence[str], pieces: dict[str, int], probs: np.ndarray):
+        self.langs, self.pieces, self.probs = list(langs), pieces, probs
         self.names = self.langs.index(NAME) if NAME in self.langs else -1
 
     def edges(self, word: str) -> Iterator[tuple[int, int, list[int]]]:
@@ -236,11 +238,7 @@ def fit_pieces(samples: Iterable[tuple[str, str]], names: Iterable[str] | DataFr
         words[NAME] = names
     if met or NAME in words:
         langs.append(NAME)
-    lexicon: dict[str, int] = {}  # word -> bit set of the languages in whose sentences it stands
-    for c, lang in enumerate(x for x in langs if x != NAME):
-        for w in words[lang]:
-            lexicon[w] = lexicon.get(w, 0) | 1 << c
-    model = PieceModel(langs, pieces, np.zeros((len(pieces), len(langs))), lexicon)
+    model = PieceModel(langs, pieces, np.zeros((len(pieces), len(langs))))
     used = sorted({k for c in words.values() for w in c for _, _, ids in model.edges("▁" + w) for k in ids} | {k for p, k in pieces.items() if p.startswith("<0x")} | set(met))
     for c, lang in enumerate(langs):
         p = np.zeros(len(pieces))
@@ -309,15 +307,14 @@ class Segmenter:
         if scores is None:
             scores = self.model.score(low)
         lang = np.delete(scores, n) if n >= 0 else scores
-        listed = self.model.lexicon.get(low, 0)
-        if n >= 0 and not listed and word[0].isupper() and scores[n] > lang.max():
+        if n >= 0 and word[0].isupper() and scores[n] > lang.max():
             return ()
         k = len(self.best)
         if k == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         self.rows[k] = np.maximum(lang - lang.max(), -CLIP)
         self.best.append(int(lang.argmax()))
-        self.foreign.append(~listed & (1 << len(self.langs)) - 1 if listed else 0)
+        self.foreign.append(sum(1 << int(c) for c in np.flatnonzero(self.rows[k] <= -CLIP)))
         return (k,)
 
     def _token(self, token: str) -> tuple[int, ...]:
@@ -371,7 +368,10 @@ class Segmenter:
         return found
 
     def _stretch(self, ids: list[int], i: int, j: int, lang: int, total: np.ndarray) -> tuple[str, int, int, int, float]:
-        """A word that is known only from sentences of other languages breaks the row."""
+        """A word that says all it may against the language breaks the row.
+
+        The confidence is the language's share of the likelihood of the stretch; see the test of its calibration.
+        """
         run = longest = 0
         foreign = self.foreign
         for k in ids[i:j]:
@@ -395,7 +395,7 @@ def language_stretches(df: DataFrame, model: PieceModel, key: str = "seq", text:
     rows = df.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(declared).alias("declared"), fold_lookalikes(F.col(text)).alias("text"))
     # One projection for each step, so that no step's expression is repeated in the next.
     rows = rows.withColumn("text", without_times(F.col("text"))).withColumn("text", without_annotations(F.col("text")))
-    held = df.sparkSession.sparkContext.broadcast((model.langs, model.pieces, model.probs, model.lexicon))
+    held = df.sparkSession.sparkContext.broadcast((model.langs, model.pieces, model.probs))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         segmenter = _segmenter(held)

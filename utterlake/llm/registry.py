@@ -9,6 +9,11 @@ from utterlake.llm import clutter, langid, leaks, mixing, pieces, splits, subjec
 from utterlake.session import materialize, table
 
 
+def _tokenizer(spark: SparkSession, file: str) -> str:
+    """A public tokenizer's file in the folder that ``utterlake.tokenizers`` names."""
+    return f"{spark.conf.get('utterlake.tokenizers', '/opt/tokenizers').rstrip('/')}/{file}"
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = turns.speaker_turns(table(spark, sf_dir, "utterances", spread=True), table(spark, sf_dir, "speakers"))
     return found.select("first_seq", "last_seq", "speaker_code")
@@ -20,7 +25,7 @@ def p1_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = langid.fit_from_tables(table(spark, sf_dir, "lang_samples"), table(spark, sf_dir, "speakers"))
+    model = langid.fit_from_tables(table(spark, sf_dir, "lang_samples"), table(spark, sf_dir, "speakers"), _tokenizer(spark, "piece_bpe_32k.model"))
     return langid.language_stretches(table(spark, sf_dir, "utterances", spread=True), model)
 
 
@@ -86,11 +91,11 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return mixing.mix_sources(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "mix_targets"))
+    return mixing.mix_sources(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "mix_targets"), _tokenizer(spark, "byte_bpe_multi_50k.tiktoken"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.short_sources(mixing.fit_mix(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "mix_targets")).plan)
+    return mixing.short_sources(mixing.fit_mix(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "mix_targets"), _tokenizer(spark, "byte_bpe_multi_50k.tiktoken")).plan)
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
