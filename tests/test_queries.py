@@ -4,11 +4,11 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.oracle import SMALL, connect, same
-from utterlake.plans import corpus_queries, interval_queries
+from utterlake.plans import corpus_queries, interval_queries, source_queries
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables here")
-WITH_SQL = corpus_queries.SQL | interval_queries.SQL
-ALL = corpus_queries.QUERIES | interval_queries.QUERIES
+WITH_SQL = corpus_queries.SQL | interval_queries.SQL | source_queries.SQL
+ALL = corpus_queries.QUERIES | interval_queries.QUERIES | source_queries.QUERIES
 
 
 @pytest.fixture(scope="module")

@@ -126,7 +126,7 @@ def remove_brackets_content(text: Column, brackets: str = "[]") -> Column:
     """
     opens, closes = brackets
     either = f"[{_quoted(opens)}{_quoted(closes)}]"
-    pieces = F.split(F.regexp_replace(text, f"({either})", "\u0001$1\u0001"), "\u0001")
+    pieces = F.split(text, f"(?={either})|(?<={either})")
     state = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
 
     def step(s: Column, piece: Column) -> Column:

@@ -48,7 +48,7 @@ def numbered(df: DataFrame, order: list[str], block_rows: int = 200_000) -> Data
     The rows are range-partitioned; each partition counts its rows, and the counts before give each place its offset, so
     no window runs over the whole table.
     """
-    parts = max(1, min(2048, -(-df.count() // block_rows)))
+    parts = max(1, -(-df.count() // block_rows))
     ranged = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
     from utterlake.session import materialize
 

@@ -18,6 +18,21 @@ WINDOW_S, HOP_S, EMPHASIS, CEPSTRA, LIFTER = 0.025, 0.01, 0.97, 13, 22
 TYPES = ("fbank", "mfcc13_d", "fbank_and_pitch", "pitch")
 
 
+def wav_header(content: bytes, length: int | None = None) -> tuple[int, int]:
+    """Rate and number of samples a channel from the chunks before the sound; ``length`` is that of the whole file."""
+    length = len(content) if length is None else length
+    at, fmt = 12, None
+    while at + 8 <= len(content):
+        name, size = content[at : at + 4], struct.unpack("<I", content[at + 4 : at + 8])[0]
+        if name == b"fmt ":
+            fmt = struct.unpack("<HHIIHH", content[at + 8 : at + 24])
+        elif name == b"data" and fmt is not None:
+            return fmt[2], min(size, length - at - 8) // max(1, fmt[1] * fmt[5] // 8)
+        at += 8 + size + size % 2
+    rate, samples = read_wav(content)  # no usual header: say what is wrong with it
+    return rate, len(samples)
+
+
 def read_wav(content: bytes) -> tuple[int, np.ndarray]:
     """Rate and samples (frames x channels) of uncompressed PCM in a RIFF container."""
     if len(content) < 12 or content[:4] != b"RIFF" or content[8:12] != b"WAVE":
@@ -138,8 +153,17 @@ def features_of(rate: int, signal: np.ndarray, feat_type: str) -> np.ndarray:
     raise UtterlakeError(f"features {feat_type!r} cannot be extracted from audio alone" if feat_type in TYPES else f"unknown feature type {feat_type!r}")
 
 
-def extract_features(wavs: DataFrame, feat_type: str = "fbank") -> DataFrame:
-    """``prefix, n_frames, feats`` of ``wavs`` (``prefix``, ``content``); three-dimensional features are flattened per frame."""
+def extract_features(wavs: DataFrame, feat_type: str = "fbank", pitches: DataFrame | None = None) -> DataFrame:
+    """``prefix, n_frames, feats`` of ``wavs`` (``prefix``, ``content``); three-dimensional features are flattened per frame.
+
+    ``fbank_and_pitch`` and ``pitch`` take the pitch from ``pitches`` (``prefix, feats``), since it is not extracted here.
+    """
+    if feat_type in ("fbank_and_pitch", "pitch"):
+        if pitches is None:
+            raise UtterlakeError(f"features {feat_type!r} need a table of pitches")
+        rows = pitches.join(wavs.select("prefix"), "prefix", "left_semi")
+        rows = combine_with_pitch(extract_features(wavs), rows) if feat_type == "fbank_and_pitch" else rows
+        return rows.select("prefix", F.size("feats").cast("bigint").alias("n_frames"), "feats")
     if feat_type not in ("fbank", "mfcc13_d"):
         raise UtterlakeError(f"unknown feature type {feat_type!r}")
 
@@ -156,6 +180,14 @@ def extract_features(wavs: DataFrame, feat_type: str = "fbank") -> DataFrame:
     return wavs.select("prefix", "content").mapInPandas(run, "prefix string, n_frames bigint, feats array<array<float>>")
 
 
+def num_feats(feats: DataFrame) -> int:
+    """Width of the features of a corpus; a corpus without any frame is an error."""
+    first = feats.where(F.size("feats") > 0).select(F.size(F.col("feats")[0]).alias("n")).first()
+    if first is None:
+        raise UtterlakeError("no features")
+    return int(first["n"])
+
+
 def missing_features(wavs: DataFrame, feats: DataFrame) -> DataFrame:
     """Only what has no features yet."""
     return wavs.join(feats.select("prefix"), "prefix", "left_anti")
@@ -177,7 +209,8 @@ def combine_with_pitch(fbanks: DataFrame, pitches: DataFrame) -> DataFrame:
 def delta_over(series: DataFrame, key: str, frame: str, value: str, n: int = 2) -> DataFrame:
     """``series`` with ``delta`` of ``value``: the same slopes as ``delta``, as a window over frames; edges repeat."""
     by = W.partitionBy(key).orderBy(frame)
-    first, last = F.first(value).over(by.rowsBetween(W.unboundedPreceding, W.currentRow)), F.last(value).over(by.rowsBetween(W.currentRow, W.unboundedFollowing))
+    whole = by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)  # one value for all frames of a key
+    first, last = F.first(value).over(whole), F.last(value).over(whole)
     total = sum(F.lit(k) * (F.coalesce(F.lead(value, k).over(by), last) - F.coalesce(F.lag(value, k).over(by), first)) for k in range(1, n + 1))
     return series.withColumn("delta", total / F.lit(2.0 * sum(k * k for k in range(1, n + 1))))
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from utterlake.errors import UtterlakeError
+from utterlake.session import discard, materialize
 
 BEAM = 100
 
@@ -257,30 +258,33 @@ def transcribe(model: AcousticModel, feats: DataFrame, vocabulary: list[str], be
     return feats.select("prefix", "feats").mapInPandas(run, "prefix string, hyp array<string>")
 
 
-def train(model: RecurrentCtc, batched: DataFrame, valid: DataFrame, vocabulary: list[str], max_epochs: int = 100, min_epochs: int = 0, patience: int = 10, max_train_ler: float = 0.3, max_valid_ler: float = 1.0, rate: float = 1e-3, beam: int = 1, callback: Callable[[dict], None] | None = None) -> tuple[RecurrentCtc, list[dict]]:
+def train(model: RecurrentCtc, batched: DataFrame, valid: DataFrame, vocabulary: list[str], max_epochs: int = 100, min_epochs: int = 0, patience: int = 10, max_train_ler: float = 0.3, max_valid_ler: float = 1.0, rate: float = 1e-3, beam: int = 1, callback: Callable[[dict], None] | None = None, keep_hyps: Callable[[int, DataFrame], None] | None = None) -> tuple[RecurrentCtc, list[dict]]:
     """Train until the rules of ``training.stopping_points`` stop; the best parameters and the log of epochs.
 
-    ``batched`` holds ``batch, prefix, feats, indices, ref``; ``valid`` holds ``prefix, feats, ref``.
+    ``batched`` holds ``batch, prefix, feats, indices, ref``; ``valid`` holds ``prefix, feats, ref``. Both are written
+    once, the batches in their order, so that a batch is read by itself. The training error is that at the end of an
+    epoch; ``keep_hyps`` gets the epoch and the decoded validation rows (``prefix, ref, hyp``) of each.
     """
-    from utterlake.operators.scoring import mean_error_rate
+    from utterlake.operators.scoring import mean_error_rate, with_error_rate
 
+    batched = materialize(batched.select("batch", "prefix", "feats", "indices", "ref").repartitionByRange("batch").sortWithinPartitions("batch"), "batches")
+    valid = materialize(valid.select("prefix", "feats", "ref"), "valid")
     ids = [r["batch"] for r in batched.select("batch").distinct().orderBy("batch").collect()]
     if not ids:
         raise UtterlakeError("no training batch")
-
-    def ler(rows: DataFrame) -> float:
-        found = transcribe(model, rows, vocabulary, beam)
-        return float(mean_error_rate(rows.select("prefix", "ref").join(found, "prefix"), "skip").first()["error_rate"] or 0.0)
-
     state, log, best, best_params, since = {}, [], 2.0, None, 0
     for epoch in range(1, 10**9):
-        rates = []
         for b in ids:
-            rows = batched.where(F.col("batch") == b)
-            _, grads, _ = batch_gradient(model, rows)
-            adam(model, grads, state, rate)
-            rates.append(ler(rows))
-        entry = {"epoch": epoch, "training_ler": float(np.mean(rates)), "valid_ler": ler(valid), "last_batch_ler": rates[-1]}
+            adam(model, batch_gradient(model, batched.where(F.col("batch") == b))[1], state, rate)
+        told = with_error_rate(batched.select("batch", "prefix", "ref").join(transcribe(model, batched, vocabulary, beam), "prefix"), "skip")
+        by_batch = {r["batch"]: r["ler"] for r in told.groupBy("batch").agg(F.avg("error_rate").alias("ler")).collect()}
+        rates = [float(by_batch.get(b) or 0.0) for b in ids]
+        hyps = valid.select("prefix", "ref").join(transcribe(model, valid, vocabulary, beam), "prefix")
+        if keep_hyps:
+            hyps = materialize(hyps, "hyps")
+            keep_hyps(epoch, hyps)
+        valid_ler = float(mean_error_rate(hyps, "skip").first()["error_rate"] or 0.0)
+        entry = {"epoch": epoch, "training_ler": float(np.mean(rates)), "valid_ler": valid_ler, "last_batch_ler": rates[-1]}
         log.append(entry)
         if callback:
             callback({k: entry[k] for k in ("epoch", "training_ler", "valid_ler")})
@@ -293,4 +297,6 @@ def train(model: RecurrentCtc, batched: DataFrame, valid: DataFrame, vocabulary:
     if best_params is None:
         raise UtterlakeError("no epoch improved")
     model.params = best_params
+    for kept in (batched, valid):
+        discard(kept)
     return model, log

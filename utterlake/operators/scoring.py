@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from utterlake.errors import EmptyReference
 from utterlake.functions.arrays import keep_labels
 from utterlake.functions.distance import alignment, token_distance
 
@@ -22,6 +23,14 @@ def with_error_rate(pairs: DataFrame, on_empty: str = "error") -> DataFrame:
     return rows.withColumn("error_rate", F.when(F.size("ref") == 0, empty).otherwise(F.col("distance") / F.size("ref")))
 
 
+def require_references(pairs: DataFrame) -> DataFrame:
+    """``pairs``; an empty reference is an error that names its rows."""
+    bad = [r[0] for r in pairs.where(F.size("ref") == 0).select(pairs.columns[0]).limit(5).collect()]
+    if bad:
+        raise EmptyReference(f"empty references: {bad}")
+    return pairs
+
+
 def mean_error_rate(pairs: DataFrame, on_empty: str = "error") -> DataFrame:
     """Macro mean over utterances: ``error_rate, n``."""
     return with_error_rate(pairs, on_empty).agg(F.avg("error_rate").alias("error_rate"), F.count("*").alias("n"))

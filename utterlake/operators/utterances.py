@@ -82,6 +82,13 @@ def code_switch_report(df: DataFrame, words: DataFrame, key: str = "seq") -> Dat
     return hits.groupBy("seq").agg(F.min_by("w", "pos").alias("word"))
 
 
+def code_switch_totals(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """One row: ``utterances`` with a text, and how many of them are ``code_switched``."""
+    switched = code_switch_report(rows, words).agg(F.count("*").alias("code_switched"))
+    whole = rows.where("text IS NOT NULL").agg(F.count("*").alias("utterances"))
+    return whole.join(F.broadcast(switched))  # one row each
+
+
 def word_list(words: DataFrame, exceptions: Sequence[str] = (), additions: Sequence[str] = ()) -> DataFrame:
     """A word list in lower case, without the exceptions (words of the target language) and with additions."""
     spark = words.sparkSession

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utterlake.errors import UtterlakeError
+from utterlake.errors import DirtyInput, UtterlakeError
 from utterlake.functions.text import segment_tonal, stem
 from utterlake.operators import batching, features, labels, scoring, splits, training, utterances
 from utterlake.operators.model import RecurrentCtc, train, transcribe
@@ -87,6 +87,10 @@ class Corpus:
     @classmethod
     def from_folder(cls, spark: SparkSession, folder: str, target: str, label_type: str, feat_type: str = "fbank") -> Corpus:
         """A prepared folder with ``wav/`` and ``label/``."""
+        held = Catalog(spark, folder)
+        lacking = [name for name in ("wav", "label") if not held.exists(name)]
+        if lacking:
+            raise DirtyInput(f"{folder} has no {' and no '.join(lacking)}")
         corpus = cls(Catalog(spark, target), label_type, feat_type)
         found = files.read_labels(spark, f"{folder}/label", label_type)
         wavs = files.read_wavs(spark, f"{folder}/wav")
@@ -154,16 +158,21 @@ def evaluate(model: RecurrentCtc, corpus: Corpus, split: str = "test", beam: int
     rows = corpus.examples(split)
     hyps = transcribe(model, rows, corpus.vocabulary(), beam)
     saved = corpus.catalog.save("hyps", rows.select("prefix", "ref").join(hyps, "prefix"))
-    return scoring.mean_error_rate(saved)
+    found = scoring.mean_error_rate(scoring.require_references(saved))
+    corpus.catalog.save(f"{split}_score", found)
+    return found
 
 
-def save_run(catalog: Catalog, model: RecurrentCtc, log: list[dict]) -> int:
-    """Keep a run's log and description under the next free number."""
+def save_run(catalog: Catalog, model: RecurrentCtc, log: list[dict], hyps: DataFrame | None = None) -> int:
+    """Keep a run's log, best scores, description and, as ``train`` gives them, hypotheses under the next free number."""
     runs = catalog.load("train_log").select(F.col("run").alias("name")).distinct() if catalog.exists("train_log") else catalog.spark.createDataFrame([], "name string")
     number = training.next_run(runs).first()["next_run"]
     rows = [(str(number), e["epoch"], e["training_ler"], e["valid_ler"], e["last_batch_ler"]) for e in log]
     catalog.append_missing("train_log", catalog.spark.createDataFrame(rows, TRAIN_LOG), "run")
-    catalog.describe(f"run_{number}", model.description())
+    best = min(log, key=lambda e: (e["valid_ler"], e["epoch"]))
+    catalog.describe(f"run_{number}", {**model.description(), "best_epoch": best["epoch"], "best_valid_ler": best["valid_ler"], "best_training_ler": best["training_ler"]})
+    if hyps is not None:
+        catalog.save(f"run_{number}_hyps", hyps)
     return number
 
 
@@ -174,6 +183,6 @@ def train_ready(corpus: Corpus, hidden: int = 250, num_layers: int = 2, **stoppi
     size = 16 if n >= 512 else 1 if n < 4 else 4 if n < 128 else n // 32
     batched = CorpusReader(corpus, n // size * size, size).train_batches()
     vocabulary = corpus.vocabulary()
-    width = len(corpus.catalog.load("feats").select("feats").first()["feats"][0])
+    width = features.num_feats(corpus.catalog.load("feats"))
     model = RecurrentCtc(width, len(vocabulary) - 1, num_layers, hidden)
     return train(model, batched, corpus.examples("valid"), vocabulary, **({"min_epochs": 20, "patience": 3} | stopping))

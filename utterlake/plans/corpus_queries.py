@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from utterlake.functions import arrays, inventories, text
-from utterlake.functions.distance import alignment, cluster_errors
+from utterlake.functions.distance import alignment, cluster_errors, weighted_distance_column, word_error_rate
 from utterlake.operators import batching, features, labels, reports, scoring, splits, training, utterances
 from utterlake.pipeline import clean_utterances
 from utterlake.sources import annotations
 from utterlake.streaming import ingest
-from utterlake.session import table
+from utterlake.session import shared_dir, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -131,6 +131,21 @@ def code_switch_report(spark: SparkSession, d: str) -> DataFrame:
     return utterances.code_switch_report(table(spark, d, "utterances", spread=True).select("seq", "text"), _english(spark, d))
 
 
+@query(f"SELECT count(*) AS utterances, count(*) FILTER (WHERE list_has_any(regexp_extract_all(lower(text), '{_WORDS}'), (SELECT list(word) FROM {_ENGLISH_LIST}))) AS code_switched FROM utterances WHERE text IS NOT NULL")
+def code_switch_totals(spark: SparkSession, d: str) -> DataFrame:
+    return utterances.code_switch_totals(table(spark, d, "utterances", spread=True).select("seq", "text"), _english(spark, d))
+
+
+@query(
+    rf"""WITH u AS (SELECT * FROM ({_DEDUP.replace('FROM utterances', "FROM utterances WHERE speaker IS NOT NULL AND end_time - start_time < 10000")}))
+SELECT seq, start_time, end_time, speaker, lower(text) AS text FROM u WHERE regexp_replace(lower(text), '{_STRIP}', '', 'g') <> '' AND (end_time - start_time) / 10.0 >= length(lower(text))"""
+)
+def filtered_utterances(spark: SparkSession, d: str) -> DataFrame:
+    """The whole cleaning with a filter of one's own."""
+    rows = table(spark, d, "utterances").select("seq", "start_time", "end_time", "text", "speaker")
+    return clean_utterances(rows, F.lower, F.col("speaker").isNotNull() & (F.col("end_time") - F.col("start_time") < 10_000))
+
+
 # ---- segmentation and text
 
 
@@ -149,28 +164,38 @@ def segment_orthographic(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "utterances", spread=True).select("seq", text.segment_orthographic(F.col("text")).alias("labels"))
 
 
-_TONAL_ALL = _quote(
-    "|".join(
-        [r"\[[^\]]*\]", "əəə…|mmm…|ə…|mm…|m…", *inventories.THREE, *inventories.TWO, "˧[̩̍]", *inventories.ONE, *inventories.CONTOUR_TONES, *inventories.LEVEL_TONES]
-        + [r"[|ǀ◊ \t\n]", *(("\\" + s) if s in "$*.?()|+" else s for s in inventories.SYMBOLS)]
+def _tonal_all(label_type: str) -> str:
+    fillers = ["əəə…|mmm…|ə…|mm…|m…"] if inventories.TONAL_TYPES[label_type][0] else []
+    return _quote(
+        "|".join(
+            [r"\[[^\]]*\]", *fillers, *inventories.THREE, *inventories.TWO, "˧[̩̍]", *inventories.ONE, *inventories.CONTOUR_TONES, *inventories.LEVEL_TONES]
+            + [r"[|ǀ◊ \t\n]", *(("\\" + s) if s in "$*.?()|+" else s for s in inventories.SYMBOLS)]
+        )
     )
-)
-_TONAL_KEPT = ", ".join("'" + _quote(t) + "'" for t in inventories.tonal_labels("phonemes_and_tones"))
 
 
-@query(
-    f"""WITH t AS (
-  SELECT seq, text, regexp_extract_all(text, '{_TONAL_ALL}') AS f FROM utterances
-  WHERE regexp_replace(text, '{_TONAL_ALL}', '', 'g') = ''
+def _tonal_query(label_type: str) -> None:
+    """Labels of every utterance that holds nothing but tonal text; the others come without labels."""
+    kept = ", ".join("'" + _quote(t) + "'" for t in inventories.tonal_labels(label_type))
+    sql = f"""WITH t AS (
+  SELECT seq, text, regexp_extract_all(text, '{_tonal_all(label_type)}') AS f, regexp_replace(text, '{_tonal_all(label_type)}', '', 'g') = '' OR contains(text, 'BEGAIEMENT') AS recognised FROM utterances
 ), m AS (
-  SELECT seq, text, list_transform(f, lambda x: CASE WHEN x IN ('˧̩', '˧̍') THEN '˧' WHEN x = 'ə…' THEN 'əəə…' WHEN x IN ('m…', 'mm…') THEN 'mmm…' WHEN x = 'wæ̃' THEN 'w̃æ' WHEN x IN ('ǀ', '◊') THEN '|' ELSE x END) AS f FROM t
+  SELECT *, list_transform(f, lambda x: CASE WHEN x IN ('˧̩', '˧̍') THEN '*˧' WHEN x = 'ə…' THEN 'əəə…' WHEN x IN ('m…', 'mm…') THEN 'mmm…' WHEN x = 'wæ̃' THEN 'w̃æ' WHEN x IN ('ǀ', '◊') THEN '|' ELSE x END) AS g FROM t
 )
-SELECT seq, CASE WHEN contains(text, 'BEGAIEMENT') THEN '' ELSE array_to_string(list_filter(f, lambda x: x IN ({_TONAL_KEPT})), ' ') END AS labels FROM m"""
-)
-def segment_tonal(spark: SparkSession, d: str) -> DataFrame:
-    """Utterances that hold nothing but tonal text."""
-    rows = table(spark, d, "utterances", spread=True).select("seq", "text").where(text.tonal_residue(F.col("text")) == "")
-    return rows.select("seq", text.segment_tonal(F.col("text"), "phonemes_and_tones").alias("labels"))
+SELECT seq, recognised, CASE WHEN contains(text, 'BEGAIEMENT') THEN '' WHEN recognised THEN replace(array_to_string(list_filter(g, lambda x: x IN ({kept}, '*˧')), ' '), '*˧', '˧') END AS labels FROM m"""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows = table(spark, d, "utterances", spread=True).select("seq", "text")
+        whole = (text.tonal_residue(F.col("text"), label_type) == "") | F.col("text").contains("BEGAIEMENT")
+        rows = rows.withColumn("recognised", whole)
+        return rows.select("seq", "recognised", F.when(F.col("recognised"), text.segment_tonal(F.col("text"), label_type)).alias("labels"))
+
+    run.__name__ = "segment_tonal" if label_type == "phonemes_and_tones" else f"segment_tonal_{label_type}"
+    query(sql)(run)
+
+
+for _type in inventories.TONAL_TYPES:
+    _tonal_query(_type)
 
 
 @query(
@@ -391,6 +416,44 @@ def one_hot(spark: SparkSession, d: str) -> DataFrame:
     return vocabulary.select("label", arrays.one_hot(F.array("idx"), vocabulary.count())[0].alias("onehot"))
 
 
+def _label_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Label lines as rows of a corpus: features of three numbers for each label, in batches of 16 by length."""
+    rows = labels.label_tokens(table(spark, d, "label_lines")).groupBy("prefix").agg(F.min("tokens").alias("tokens"))
+    width = lambda t, k: (F.length(t) + k).cast("float")
+    rows = rows.select("prefix", F.size("tokens").alias("n"), F.array_join("tokens", " ").alias("labels"), F.transform("tokens", lambda t: F.array(*[width(t, k) for k in range(3)])).alias("feats"))
+    return batching.make_batches(rows, 16, ["n", "prefix"])
+
+
+_LABEL_ROWS = f"""l AS (SELECT prefix, min({_TOKENS}) AS tokens FROM label_lines GROUP BY prefix),
+k AS (SELECT prefix, tokens, row_number() OVER (ORDER BY len(tokens), prefix) - 1 AS pos FROM l), b AS (SELECT *, pos // 16 AS batch FROM k)"""
+
+
+@query(
+    f"""WITH {_LABEL_ROWS}, m AS (SELECT *, max(len(tokens)) OVER (PARTITION BY batch) AS longest FROM b)
+SELECT batch, list(prefix ORDER BY pos) AS prefixes, list(CAST(len(tokens) AS INTEGER) ORDER BY pos) AS lens,
+  list(list_transform(tokens, lambda t: [CAST(length(t) AS FLOAT), CAST(length(t) + 1 AS FLOAT), CAST(length(t) + 2 AS FLOAT)]) || list_transform(range(longest - len(tokens)), lambda i: [CAST(0 AS FLOAT), CAST(0 AS FLOAT), CAST(0 AS FLOAT)]) ORDER BY pos) AS x FROM m GROUP BY batch"""
+)
+def batch_features(spark: SparkSession, d: str) -> DataFrame:
+    """Padded features of every batch, as a model loads them."""
+    return batching.padded_batches(_label_rows(spark, d), 3)
+
+
+@query(f"WITH v AS ({_VOCAB}), {_LABEL_ROWS} SELECT batch, pos % 16 AS row, CAST(nth - 1 AS INTEGER) AS pos, CAST(idx AS BIGINT) AS value FROM (SELECT batch, pos, unnest(tokens) AS label, generate_subscripts(tokens, 1) AS nth FROM b) JOIN v USING (label)")
+def batch_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Sparse targets of every batch: features and labels are joined by prefix."""
+    rows = _label_rows(spark, d)
+    encoded = labels.encode_labels(rows.select("prefix", "labels"), labels.label_vocabulary(table(spark, d, "label_lines")))
+    return batching.load_batch(rows, encoded, 3)[1].select("batch", F.col("row").cast("bigint").alias("row"), "pos", "value")
+
+
+@query("SELECT CAST(n // 64 * 64 AS BIGINT) AS num_train, 64 AS batch_size FROM (SELECT count(*) AS n FROM label_lines) UNION ALL SELECT n // 8 * 8, 8 FROM (SELECT count(*) AS n FROM label_lines) UNION ALL SELECT 64, 2")
+def reader_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and batches of readers over the label lines: by default, with a batch size, with a number of rows."""
+    n = table(spark, d, "label_lines").count()
+    found = [batching.reader_sizing(n), batching.reader_sizing(n, batch_size=8), batching.reader_sizing(n, num_train=64)]
+    return spark.createDataFrame([(s.num_train, s.batch_size) for s in found], "num_train bigint, batch_size int")
+
+
 # ---- scores: label lines against the labels of the utterance they were made from
 
 
@@ -437,39 +500,96 @@ def error_rate_by_speaker(spark: SparkSession, d: str) -> DataFrame:
     return found.select("speaker", F.round("error_rate", 6).alias("error_rate"), "n", F.round("all_error_rate", 6).alias("all_error_rate"))
 
 
-@query()
+def _table_of(change: int) -> str:
+    """Rows of the table of edit costs of each pair: every cost from the row above, then added targets by a running least."""
+    return f"""t AS (
+  SELECT prefix, ref, hyp, 0 AS i, [range(0, len(hyp) + 1)] AS rows FROM p
+  UNION ALL
+  SELECT prefix, ref, hyp, i + 1, list_append(rows, list_transform(range(0, len(hyp) + 1), lambda k: list_min(least_[1:k + 1]) + k)) FROM (
+    SELECT *, list_transform(range(0, len(hyp) + 1), lambda k: (CASE WHEN k = 0 THEN rows[i + 1][1] + 1 ELSE least(rows[i + 1][k + 1] + 1, rows[i + 1][k] + CASE WHEN hyp[k] = ref[i + 1] THEN 0 ELSE {change} END) END) - k) AS least_
+    FROM t WHERE i < len(ref))
+)"""
+
+
+# The way back takes a pair before a reference label before a hypothesis label.
+_STEPS = f"""{_SCORED.replace('WITH u AS', 'WITH RECURSIVE u AS')}, {_table_of(1)}, b AS (
+  SELECT prefix, ref, hyp, rows, len(ref) AS m, len(hyp) AS n, 0 AS step, '' AS r, '' AS h FROM t WHERE i = len(ref)
+  UNION ALL
+  SELECT prefix, ref, hyp, rows, m - (move <> 2)::BIGINT, n - (move <> 1)::BIGINT, step + 1, CASE WHEN move <> 2 THEN ref[m] ELSE '' END, CASE WHEN move <> 1 THEN hyp[n] ELSE '' END FROM (
+    SELECT *, CASE WHEN m > 0 AND n > 0 AND rows[m + 1][n + 1] = rows[m][n] + (ref[m] <> hyp[n])::BIGINT THEN 0 WHEN m > 0 AND rows[m + 1][n + 1] = rows[m][n + 1] + 1 THEN 1 ELSE 2 END AS move
+    FROM b WHERE m > 0 OR n > 0)
+), arrows AS (SELECT r AS ref, h AS hyp, count(*) AS count FROM b WHERE step > 0 GROUP BY 1, 2)"""
+
+
+@query(f"{_STEPS} SELECT * FROM arrows")
 def arrow_counts(spark: SparkSession, d: str) -> DataFrame:
     return scoring.arrow_counts(_pairs(spark, d))
 
 
-@query()
+@query(
+    f"""{_STEPS} SELECT CAST(coalesce(sum(count) FILTER (WHERE ref <> hyp AND ref <> '' AND hyp <> ''), 0) AS BIGINT) AS substitutions, CAST(coalesce(sum(count) FILTER (WHERE ref <> '' AND hyp = ''), 0) AS BIGINT) AS deletions,
+CAST(coalesce(sum(count) FILTER (WHERE ref = '' AND hyp <> ''), 0) AS BIGINT) AS insertions, CAST(coalesce(sum(count) FILTER (WHERE ref = hyp), 0) AS BIGINT) AS matches FROM arrows"""
+)
 def error_types(spark: SparkSession, d: str) -> DataFrame:
     return scoring.error_types(scoring.arrow_counts(_pairs(spark, d)))
 
 
-@query()
+@query(f"{_STEPS} SELECT ref AS label, CAST(sum(count) AS BIGINT) AS count FROM arrows WHERE hyp = '' AND ref <> '' GROUP BY 1")
 def deletions_by_label(spark: SparkSession, d: str) -> DataFrame:
     return scoring.deletions_by_label(scoring.arrow_counts(_pairs(spark, d)))
 
 
-@query()
+@query(
+    f"""{_STEPS}, top AS (SELECT ref AS label FROM arrows WHERE ref <> '' GROUP BY 1 ORDER BY sum(count) DESC, 1 LIMIT 25)
+SELECT a.label AS ref, b.label AS hyp, coalesce(c.count, 0) AS count FROM top a CROSS JOIN top b LEFT JOIN arrows c ON c.ref = a.label AND c.hyp = b.label"""
+)
 def confusion_top(spark: SparkSession, d: str) -> DataFrame:
     """A top-k report: the 25 commonest labels."""
     return scoring.confusion(scoring.arrow_counts(_pairs(spark, d)))
 
 
-@query()
+@query(
+    f"""{_STEPS}, o AS (SELECT prefix, step, r, h, r = h AS ok FROM b WHERE step > 0
+), g AS (SELECT *, sum(CASE WHEN ok OR before IS NULL OR before THEN 1 ELSE 0 END) OVER (PARTITION BY prefix ORDER BY step DESC ROWS UNBOUNDED PRECEDING) AS cluster FROM (SELECT *, lag(ok) OVER (PARTITION BY prefix ORDER BY step DESC) AS before FROM o)
+), c AS (SELECT coalesce(string_agg(r, ' ' ORDER BY step DESC) FILTER (WHERE r <> ''), '') AS ref, coalesce(string_agg(h, ' ' ORDER BY step DESC) FILTER (WHERE h <> ''), '') AS hyp FROM g GROUP BY prefix, cluster)
+SELECT ref, hyp, count(*) AS count FROM c WHERE ref <> hyp GROUP BY 1, 2"""
+)
 def clustered_errors(spark: SparkSession, d: str) -> DataFrame:
     pairs = _pairs(spark, d).select("prefix", F.explode(cluster_errors(alignment("ref", "hyp"))).alias("c"))
     wrong = pairs.where("NOT c.ref <=> c.hyp")
     return wrong.groupBy(F.array_join("c.ref", " ").alias("ref"), F.array_join("c.hyp", " ").alias("hyp")).agg(F.count("*").alias("count"))
 
 
-@query()
+def _highlight(side: str) -> str:
+    return rf"coalesce(string_agg(CASE WHEN r = h THEN {side} ELSE '\hl{{' || {side} || '}}' END, '' ORDER BY step DESC) FILTER (WHERE step > 0), '')"
+
+
+@query(rf"{_STEPS} SELECT replace(prefix, '_', '\_') AS prefix, {_highlight('r')} AS ref_tex, {_highlight('h')} AS hyp_tex FROM b GROUP BY prefix")
 def latex_alignments(spark: SparkSession, d: str) -> DataFrame:
     return reports.highlighted(_pairs(spark, d)).select(text.latex_escape(F.col("prefix")).alias("prefix"), "ref_tex", "hyp_tex")
 
 
+@query(f"{_RATES} SELECT prefix, round(100.0 * d / n, 6) AS wer FROM r")
+def word_error_rates(spark: SparkSession, d: str) -> DataFrame:
+    rows = _pairs(spark, d).where(F.size("ref") > 0)
+    return rows.select("prefix", F.round(word_error_rate(F.col("ref"), F.col("hyp")), 6).alias("wer"))
+
+
+@query(f"{_SCORED.replace('WITH u AS', 'WITH RECURSIVE u AS')}, {_table_of(2)} SELECT prefix, CAST(rows[len(ref) + 1][len(hyp) + 1] AS BIGINT) AS distance FROM t WHERE i = len(ref)")
+def weighted_distances(spark: SparkSession, d: str) -> DataFrame:
+    """Edit distance in which changing a label costs two."""
+    return _pairs(spark, d).select("prefix", weighted_distance_column(2)(F.col("ref"), F.col("hyp")).alias("distance"))
+
+
+@query(r"""SELECT seq AS line_no, list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '') AS ref, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: t <> '') AS hyp FROM utterances WHERE text IS NOT NULL""")
+def joined_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Two files of token lines, joined by line."""
+    rows = table(spark, d, "utterances").where("text IS NOT NULL")
+    tokens = lambda c: F.filter(F.split(c, r"\s+"), lambda t: t != "")
+    side = lambda c: rows.select(F.col("seq").alias("line_no"), tokens(c).alias("tokens"))
+    return scoring.join_by_line(side(F.lower("text")), side(F.col("text")))
+
+
 # ---- series, logs, slices
 
 
@@ -573,9 +693,8 @@ def daily_counts(spark: SparkSession, d: str) -> DataFrame:
 def stream_daily_counts(spark: SparkSession, d: str) -> DataFrame:
     """The same by a stream that is drained to its end, every update kept by key."""
     stream = ingest.utterance_stream(spark, f"{d}/utterances.parquet", table(spark, d, "utterances").schema)
-    name = f"stream_{next(tempfile._get_candidate_names())}"
-    ingest.run_to_table(ingest.windowed_counts(stream), name, "complete")
-    return spark.table(name).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "speaker", "n", "duration_ms")
+    found = ingest.run_to_folder(ingest.windowed_counts(stream), f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", ["window_start", "window_end", "speaker"])
+    return found.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "speaker", "n", "duration_ms")
 
 
 @query(

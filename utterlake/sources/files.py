@@ -64,17 +64,18 @@ def read_wavs(spark: SparkSession, root: str) -> DataFrame:
 
 def wav_lengths(wavs: DataFrame) -> DataFrame:
     """``prefix, rate, n_samples, seconds, empty`` from the headers of ``wavs`` (``prefix, content``)."""
-    from utterlake.operators.features import read_wav
+    from utterlake.operators.features import wav_header
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for prefix, content in zip(batch["prefix"], batch["content"]):
-                rate, samples = read_wav(bytes(content))
-                out.append((prefix, rate, len(samples), len(samples) / rate, len(samples) == 0))
+            for prefix, head, length in zip(batch["prefix"], batch["head"], batch["length"]):
+                rate, samples = wav_header(bytes(head), length)
+                out.append((prefix, rate, samples, samples / rate, samples == 0))
             yield pd.DataFrame(out, columns=["prefix", "rate", "n_samples", "seconds", "empty"])
 
-    return wavs.select("prefix", "content").mapInPandas(run, "prefix string, rate int, n_samples bigint, seconds double, empty boolean")
+    head = F.substring("content", 1, 1 << 16)  # the sound itself stays where it is
+    return wavs.select("prefix", head.alias("head"), F.length("content").alias("length")).mapInPandas(run, "prefix string, rate int, n_samples bigint, seconds double, empty boolean")
 
 
 def reject_empty(lengths: DataFrame) -> DataFrame:

@@ -60,8 +60,21 @@ def late_rows(batch: DataFrame, event: str, order: str = "seq", delay_days: int
     return rows.where(F.col("__at") < seen - F.expr(f"INTERVAL {delay_days} DAYS")).select(*batch.columns)
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> None:
-    """Drain what is there into an in-memory table, for tests and small jobs."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-    query.awaitTermination()
+def run_to_folder(stream: DataFrame, folder: str, keys: list[str] | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Drain what is there: every batch's changed rows go to a part of ``folder``; the latest row of each key comes back,
+    or, without ``keys``, every row that was appended.
+
+    Nothing is held on the driver, and a batch that is run again after a failure replaces its own part.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("__batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/parts/{number}")
+
+    writer = stream.writeStream.outputMode("update" if keys else "append").option("checkpointLocation", checkpoint or f"{folder}/checkpoint").trigger(availableNow=True)
+    writer.foreachBatch(put).start().awaitTermination()
+    rows = stream.sparkSession.read.parquet(f"{folder}/parts/*")
+    if not keys:
+        return rows.drop("__batch")
+    others = [c for c in rows.columns if c not in (*keys, "__batch")]
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "__batch").alias("__row"))
+    return latest.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in others])
