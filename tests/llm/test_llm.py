@@ -335,6 +335,26 @@ def test_pieces_keep_the_limit(spark, seed):
             assert (x["cut"] == "forced") == bool(stretch)
             if stretch:
                 assert x["stretch_ms"] == stretch[0] and stretch[0] > 29_800
+    # Blocks change nothing: the sum of the prices is the same as over the whole recording at once.
+    whole = pieces.recording_pieces(utter(spark, rows), limit_ms=30_000, overlap_ms=200, block_ms=10**9).collect()
+    blocks = pieces.recording_pieces(utter(spark, rows), limit_ms=30_000, overlap_ms=200, block_ms=60_000).collect()
+    cover = sorted((r[2], r[3]) for r in rows if r[1] == "long")
+    merged = []
+    for a, b in cover:
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    size, span = merged[-1][1], 29_800
+    units = [(0, merged[0][0], 0)] * (merged[0][0] > 0) + sorted([(a[1], b[0], 0) for a, b in zip(merged, merged[1:])] + [(a, b, 1) for a, b in merged if b - a > span])
+    at, cost, _ = pieces.cut_positions(0, 10**9, units, span, size)
+    prices, ideal = dict(zip(at.tolist(), cost)), pieces.ideal_size(size, 30_000, 200)
+
+    def price(some):
+        ends = [0, *sorted(r["to_ms"] for r in some if r["media"] == "long.wav")]
+        return sum(prices[y] + pieces.EACH + pieces.BALANCE * ((y - x - ideal) / ideal) ** 2 for x, y in zip(ends, ends[1:]))
+
+    assert price(whole) == pytest.approx(price(found), rel=1e-9) and price(whole) == pytest.approx(price(blocks), rel=1e-9)
     with pytest.raises(ValueError):
         pieces.recording_pieces(utter(spark, rows), limit_ms=100, overlap_ms=100)
     assert pieces.recording_pieces(utter(spark, [])).count() == 0
