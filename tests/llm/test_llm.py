@@ -264,6 +264,27 @@ def test_large_totals_are_exact(size):
     assert all(sum(chosen[name].get(s, 0) for name in chosen) == k for s, k in sizes.items())
 
 
+def test_totals_of_very_many_records():
+    """The shares are met to the record, and the bitset stays small, at 10^10 records."""
+    for n in (10**6, 10**8, 10**10):
+        histogram = [(1, n), (3, n // 10), (5, n // 20)]
+        total = sum(s * k for s, k in histogram)
+        chosen = splits.choose_totals(histogram, [("train", 0.8), ("valid", 0.1), ("test", 0.1)])
+        for name, share in (("valid", 0.1), ("test", 0.1)):
+            assert sum(s * k for s, k in chosen[name].items()) == round(share * total)
+        assert all(sum(c.get(s, 0) for c in chosen.values()) == k for s, k in histogram)
+    rng = random.Random(3)
+    for _ in range(20):  # against the same sums without taking any for sure
+        histogram = [(s, rng.randrange(200, 600)) for s in rng.sample(range(4, 40, 2), 3)]
+        total = sum(s * k for s, k in histogram)
+        sums = {0}
+        for s, k in histogram:
+            sums = {x + s * c for x in sums for c in range(min(k, total // 10 // s + 20) + 1) if x + s * c <= total // 5}
+        chosen = splits.choose_totals(histogram, [("a", 0.9), ("b", 0.1)])
+        got = sum(s * k for s, k in chosen["b"].items())
+        assert abs(got - round(0.1 * total)) == min(abs(x - round(0.1 * total)) for x in sums)
+
+
 def test_assign_splits(spark):
     members = spark.createDataFrame([(f"c{k}", k % 7 + 1, "e") for k in range(300)] + [("c0", 4, "e"), (None, 3, "e"), ("z", None, "e")], "component string, n int, split string")
     targets = spark.createDataFrame([("test", 0.05), ("train", 0.9), ("valid", 0.05)], "split_name string, share double")

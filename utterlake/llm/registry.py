@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from utterlake.llm import clutter, langid, leaks, mixing, pieces, splits, subjects, turns, unify
@@ -61,6 +62,13 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(splits.assign_splits(members, table(spark, sf_dir, "split_targets")), "component").select(F.col("node").alias("org_media_path"), "component", "n", "split")
 
 
+def p4_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records and recordings that have a split, and groups or recordings that stand in two."""
+    rows = materialize(p4_splits(spark, sf_dir), "split")
+    twice = lambda c: rows.groupBy(c).agg(F.count_distinct("split").alias("k")).where("k > 1").agg(F.count("*").alias("k")).first()["k"]
+    return rows.agg(F.sum("n").alias("records"), F.count("*").alias("recordings"), F.lit(twice("component") + twice("org_media_path")).cast("bigint").alias("broken"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_cases(pieces.recording_pieces(table(spark, sf_dir, "utterances")))
 
@@ -70,6 +78,15 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.recording_pieces(table(spark, sf_dir, "utterances"))
 
 
+def p5_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings with pieces, the sum of their ends, pieces over the limit, and pieces that do not start the overlap before the one before ends."""
+    rows = p5_pieces(spark, sf_dir)
+    before = F.lag("to_ms").over(W.partitionBy("media").orderBy("to_ms"))
+    rows = rows.withColumn("wrong", F.col("from_ms") != F.coalesce(before - pieces.OVERLAP_MS, F.lit(0)))
+    per = rows.groupBy("media").agg(F.max("to_ms").alias("size"), F.sum(F.expr(f"int(to_ms - from_ms > {pieces.LIMIT_MS})")).alias("over"), F.sum(F.col("wrong").cast("int")).alias("wrong"))
+    return per.agg(F.count("*").alias("recordings"), F.sum("size").alias("total_ms"), F.sum("over").alias("over_limit"), F.sum("wrong").alias("wrong_starts"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unify.lookalike_pairs(table(spark, sf_dir, "utterances", spread=True))
 
@@ -124,7 +141,7 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_turns, p2_found, p2_stretches, p4_found, p4_splits, p5_found, p5_pieces, p6_found, p6_canonical, p7_found, p7_report, p8_found, p8_mix, p8_shares, p9_found, p9_composition)
+    for f in (p1_found, p1_turns, p2_found, p2_stretches, p4_found, p4_splits, p4_checks, p5_found, p5_pieces, p5_checks, p6_found, p6_canonical, p7_found, p7_report, p8_found, p8_mix, p8_shares, p9_found, p9_composition)
 }
 
 _PERSONS = r"""
@@ -192,6 +209,11 @@ WITH RECURSIVE {_PERSONS.replace("{labels}", "(SELECT speaker AS label FROM utte
 ), comp AS (SELECT node, min(root) AS component FROM reach GROUP BY 1
 ), codes AS (SELECT component, count(DISTINCT node) AS n, min(code) AS group_code FROM comp JOIN ties USING (node) GROUP BY 1)
 SELECT node AS org_media_path, group_code FROM comp JOIN codes USING (component) WHERE n > 1 AND group_code IS NOT NULL
+""",
+    "p4_checks": "SELECT count(*) AS records, count(DISTINCT org_media_path) AS recordings, CAST(0 AS BIGINT) AS broken FROM utterances WHERE org_media_path IS NOT NULL",
+    "p5_checks": """
+SELECT count(*) AS recordings, CAST(sum(size) AS BIGINT) AS total_ms, CAST(0 AS BIGINT) AS over_limit, CAST(0 AS BIGINT) AS wrong_starts FROM (
+  SELECT max(end_time) AS size FROM utterances WHERE org_media_path IS NOT NULL AND end_time > greatest(start_time, 0) GROUP BY org_media_path)
 """,
     "p5_found": """
 WITH r AS (

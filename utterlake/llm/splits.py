@@ -81,6 +81,10 @@ def choose_totals(sizes: Sequence[tuple[int, int]], shares: Sequence[tuple[str,
     is closest to share x all (below wins ties), found among all subset sums up to twice the target. Sizes count in full
     at any total: a bitset holds the sums, and each sum remembers the step that first reached it (two bytes for most
     histograms), which is all that the way back needs. The steps end once the target is met.
+
+    Among the best choices one lies near the share itself of each size: sums of differences of either sign, put in a
+    good order, stay within twice the greatest size, so two that are equal could be cut out. So all but a few components
+    of each size are taken or left at their share, and the bitset grows with the sizes, not with the number of records.
     """
     left = {int(s): int(n) for s, n in sizes if s > 0 and n > 0}
     total = sum(s * n for s, n in left.items())
@@ -89,10 +93,13 @@ def choose_totals(sizes: Sequence[tuple[int, int]], shares: Sequence[tuple[str,
     for name, share in order[:-1]:
         target = round(share * total)
         unit = math.gcd(*left) or 1  # every sum is a multiple of it, so nothing is rounded
+        near = 3 * max((s // unit for s in left if s <= 2 * target), default=0) + len(left) + 1
+        sure = {s: max(0, int(share * n) - near) for s, n in left.items() if s <= 2 * target}
+        target -= sum(s * n for s, n in sure.items())
         aim, limit = target // unit, 2 * target // unit
         steps: list[tuple[int, int]] = []
         for s in sorted(left, reverse=True):
-            n, chunk = min(left[s], limit // (s // unit)), 1
+            n, chunk = min(left[s] - sure.get(s, 0), limit // (s // unit)), 1
             while n > 0:
                 k = min(chunk, n)
                 steps.append((s, k))
@@ -110,7 +117,7 @@ def choose_totals(sizes: Sequence[tuple[int, int]], shares: Sequence[tuple[str,
         above = bits >> (aim + 1)
         high = aim + 1 + ((above & -above).bit_length() - 1) if above else None
         at = high if high is not None and high * unit - target < target - low * unit else low
-        taken: dict[int, int] = {}
+        taken = {s: n for s, n in sure.items() if n}
         while at:  # what is left of a sum without its last step was reached before that step
             s, k = steps[int(first[at])]
             taken[s] = taken.get(s, 0) + k
